@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cleargrain.llm import quality_rules
+from cleargrain.llm import minhash_tensor, quality_rules
 
 QUERIES = {
+    "op10_minhash_near_dedup": minhash_tensor.op10_minhash_near_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op10_minhash_near_dedup": minhash_tensor.SQL,
     "op2_quality_rules": quality_rules.SQL,
 }
