@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cleargrain.llm import harmonic_packing, minhash_tensor, quality_rules
+from cleargrain.llm import harmonic_packing, minhash_tensor, mixing, quality_rules
 
 QUERIES = {
+    "op9_mixing": mixing.op9_mixing,
     "op6_harmonic_packing": harmonic_packing.op6_harmonic_packing,
     "op10_minhash_near_dedup": minhash_tensor.op10_minhash_near_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
