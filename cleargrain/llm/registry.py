@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cleargrain.llm import flac, harmonic_packing, minhash_tensor, mixing, quality_rules
+from cleargrain.llm import chat_format, flac, harmonic_packing, minhash_tensor, mixing, quality_rules
 
 QUERIES = {
+    "op5_chat_format": chat_format.op5_chat_format,
     "op4_flac": flac.op4_flac,
     "op9_mixing": mixing.op9_mixing,
     "op6_harmonic_packing": harmonic_packing.op6_harmonic_packing,
