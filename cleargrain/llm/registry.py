@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cleargrain.llm import chat_format, flac, harmonic_packing, minhash_tensor, mixing, quality_rules
+from cleargrain.llm import chat_format, flac, harmonic_packing, minhash_tensor, mixing, quality_rules, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op5_chat_format": chat_format.op5_chat_format,
     "op4_flac": flac.op4_flac,
     "op9_mixing": mixing.op9_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": url_filter.SQL,
     "op10_minhash_near_dedup": minhash_tensor.SQL,
     "op2_quality_rules": quality_rules.SQL,
 }
