@@ -5,10 +5,12 @@ there are m * m tables, but only 2 * m * r minhashes to compute: the square root
 Texts of similarity s meet in some table with probability (1 - (1 - s**r)**m)**2; for s = 0.85, r = 2, m = 7 that is
 0.9997, and only the weakest single link of a group is subject to it.
 
-Candidates are compared on whole shingle sets. Within a bucket every member is compared with the bucket's leader;
-then only pairs of members of different components remain to compare, of which the triangle inequality of the Jaccard
-distance, with the leader as the third corner, strikes out those that cannot be similar. So no link that a bucket
-holds is lost, and a group of near copies costs a number of comparisons in proportion to its size.
+Candidates are compared on whole shingle sets. Within a bucket every member is compared with the bucket's leader, the
+member that meets most others. Then only pairs of members of different components remain. Two bounds that never strike
+out a similar pair thin them within the join: the triangle inequality of the Jaccard distance, with the leader as the
+third corner, and a parity sketch. The sketch has one bit for each of 2048 cells, flipped by each shingle of the cell, so
+two sketches differ in no more bits than the sets differ in shingles. What passes is compared on whole sets; no link that
+a bucket holds is lost.
 
 Defined results: null or empty texts and texts without words have empty sets and no links. Texts with equal sets are one
 class and linked. Rows that share an id count as one document, linked through any of its texts. Rows with a null id are
@@ -18,10 +20,11 @@ never linked. An empty table gives an empty result. Only the id and text columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import LOWER, U64, mix, pieces, prefix_hashes, span_hashes, text_buffer, window_hashes, words
@@ -31,6 +34,10 @@ from cleargrain.llm.shared import read_table, settled
 HALVES = 7
 ROWS = 2
 PIECE_BYTES = 1 << 20
+#: 64-bit words of the parity sketch.
+SKETCH = 32
+#: Words of the sketch folded onto itself, which is looked at first; it too differs in no more bits than the sets.
+FOLDED = 4
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +90,17 @@ def half_keys(found: np.ndarray, before: np.ndarray, halves: int, rows: int) ->
     return out
 
 
+def parities(found: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """(row, SKETCH) words; bit c is the parity of the number of shingles in cell c."""
+    n = len(before) - 1
+    cell = (mix(found ^ U64(0x8CB92BA72F3D8DD7)) % U64(64 * SKETCH)).astype(np.int64)
+    row = np.repeat(np.arange(n), np.diff(before))
+    flips = np.bincount(row * (64 * SKETCH) + cell, minlength=n * 64 * SKETCH) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(n, SKETCH)
+
+
 def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """id, n (size of the shingle set), s1 and s2 (128 bits that stand for the set), halves (the half keys)."""
+    """id, n (size of the shingle set), s1 and s2 (128 bits that stand for the set), halves (the half keys), parity (the sketch)."""
     part = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +115,10 @@ def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int = HAL
                     sums.append(mix(running[before[1:]] - running[before[:-1]]).view(np.int64))
                 keys = half_keys(found, before, halves, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 2 * halves, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.record_batch([piece.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists], names=["id", "n", "s1", "s2", "halves"])
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCH, pa.int32()), pa.array(parities(found, before).ravel()))
+                yield pa.record_batch([piece.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists, sketch], names=["id", "n", "s1", "s2", "halves", "parity"])
 
-    return part.mapInArrow(work, f"id {part.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, halves array<bigint>")
+    return part.mapInArrow(work, f"id {part.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, halves array<bigint>, parity array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
@@ -131,11 +148,14 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """Per row of docs: id, n_shingles, component (smallest id that links of at least `percent` reach, itself included)."""
     signed = settled(signatures(docs, id, text, size, halves, rows), "signatures")
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("halves").alias("halves"))
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("halves").alias("halves"), F.first("parity").alias("parity"))
     tables = F.array(*[F.xxhash64(F.lit(i * halves + j), F.col("halves")[i], F.col("halves")[halves + j]) for i in range(halves) for j in range(halves)])
     keyed = classes.select("id", "n", F.explode(tables).alias("key"))
-    led = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
-    met = settled(keyed.join(led, "key"), "met")
+    many = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
+    shared = settled(keyed.join(many, "key"), "shared")
+    central = shared.groupBy("id").agg(F.sum("members").alias("score"))
+    led = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("leader"))
+    met = settled(shared.select("id", "n", "key").join(led, "key"), "met")
     wanted = met.select("id").distinct()
     sets = settled(shingle_sets(docs.join(wanted, docs[id] == wanted["id"], "left_semi"), id, text, size), "sets")
     stars = met.where("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
@@ -149,12 +169,18 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     apart = with_component.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     far = near.select(F.col("x").alias("leader"), F.col("y").alias("id"), (1 - F.col("shared") / F.col("joined")).alias("d"))
     open_ = with_component.where("id <> leader").join(apart, "key", "left_semi").join(far, ["leader", "id"])
-    a, b = (open_.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in "xy")
+    folded = [reduce(Column.bitwiseXOR, [F.col("parity")[i] for i in range(k, SKETCH, FOLDED)]).alias(f"f{k}") for k in range(FOLDED)]
+    open_ = settled(open_.join(classes.select("id", "parity", *folded), "id"), "open")
+    a, b = (open_.select("key", F.col("id").alias(x), F.col("parity").alias(f"p{x}"), *(F.col(f"f{k}").alias(f"f{k}{x}") for k in range(FOLDED)), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in "xy")
+    bits = lambda pairs: reduce(Column.__add__, [F.bit_count(p.bitwiseXOR(q)) for p, q in pairs])
+    near_enough = lambda differ: differ * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     rest = (
         a.join(b, "key")
         .where("x < y AND cx <> cy")
         .where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
         .where(F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9)
+        .where(near_enough(bits((F.col(f"f{k}x"), F.col(f"f{k}y")) for k in range(FOLDED))))
+        .where(near_enough(bits((F.col("px")[i], F.col("py")[i]) for i in range(SKETCH))))
         .select("x", "y")
         .distinct()
     )
