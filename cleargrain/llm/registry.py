@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cleargrain.llm import chat_format, flac, harmonic_packing, language_id, minhash_tensor, mixing, quality_rules, suffix_dedup, url_filter
+from cleargrain.llm import chat_format, flac, harmonic_packing, language_id, minhash_tensor, mixing, quality_rules, recurrent_lm, suffix_dedup, url_filter
 
 QUERIES = {
+    "op3_recurrent_lm": recurrent_lm.op3_recurrent_lm,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op1_url_filter": url_filter.op1_url_filter,
