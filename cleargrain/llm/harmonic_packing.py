@@ -14,7 +14,11 @@ split into partitions; a task that runs again gives the same ones.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +26,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.bytescan import pieces, text_buffer
+from cleargrain.llm.bytescan import LOWER, pieces, text_buffer
 from cleargrain.llm.shared import read_table
 
 CAPACITY = 2048
 #: Shorter rests are not cut further.
 LEAST = 96
-#: Words whose ids a worker remembers; beyond it starts afresh.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers before it forgets old ones.
+REMEMBERED = 400_000
 END = 1
 PIECE_BYTES = 1 << 21
 OUT_ROWS = 20_000
 
 
+_ALNUM, _DIGIT, _OTHER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58] = True
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_OTHER[33:127] = True
+_OTHER[[39, *range(48, 58), *range(65, 91), *range(97, 123)]] = False
+_SIGMA = "\u03a3".encode()
+
+
+def parted(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes with a space at every ASCII boundary that the tokenizer's first split has anyway.
+
+    That split makes tokens of runs of letters, of single digits, and of runs of other marks (with an apostrophe it may
+    differ). So far fewer distinct words remain to be encoded. A capital sigma's small form hangs on its neighbours;
+    such texts are left as they are.
+    """
+    data = LOWER[data]
+    if len(data) < 2 or _SIGMA in data.tobytes():
+        return data, at
+    letter = _ALNUM[data]
+    tail = (data[1:] & 0xC0) == 0x80
+    latin = tail & (data[:-1] >= 0xC3) & (data[:-1] <= 0xC8) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    ends = letter.copy()
+    ends[1:] |= latin
+    other, digit = _OTHER[data], _DIGIT[data]
+    cut = (ends[:-1] & other[1:]) | (other[:-1] & letter[1:]) | (digit[:-1] & letter[1:]) | (letter[:-1] & digit[1:])
+    inner = at[(at > 0) & (at < len(data))]
+    cut[inner - 1] = False
+    shift = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(cut, out=shift[1:-1])
+    shift[-1] = shift[-2]
+    out = np.full(len(data) + int(shift[-1]), 0x20, np.uint8)
+    out[np.arange(len(data)) + shift[:-1]] = data
+    return out, at + shift[at]
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Each word is
-    encoded once and remembered.
+    encoded once and remembered; when `remembered` words are, those not met since then are forgotten.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,24 +90,51 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ids: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.remembered = remembered
 
     def learn(self, found: set[bytes]) -> None:
-        new = [w for w in found if w not in self.ids]
-        if len(self.ids) + len(new) > self.remembered:
-            self.ids.clear()
-            new = list(found)
-        new.sort()
+        if len(self.ids) > self.remembered:
+            self.before, self.ids = self.ids, {}
+        new = []
+        for w in found:
+            if (known := self.before.get(w)) is not None:
+                self.ids[w] = known
+            else:
+                new.append(w)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.ids[word] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of texts that come as lists of words."""
-        self.learn(set().union(*texts))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, t)) for t in texts]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            raw = np.fromiter(chain.from_iterable(got), "<u4").tobytes()
+            at = 0
+            for word, ids in zip(part, got, strict=True):
+                self.ids[word] = raw[at : (at := at + 4 * len(ids))]
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Ids of the texts in a buffer with offsets."""
+        data, at = parted(data, at)
+        raw = data.tobytes()
+        texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        found = list(map(self.ids.get, chain.from_iterable(texts)))
+        flat, unknown, i = None, [], -1
+        with suppress(ValueError):  # index() ends so
+            while True:
+                i = found.index(None, i + 1)
+                unknown.append(i)
+        if unknown:
+            flat = list(chain.from_iterable(texts))
+            self.learn({flat[i] for i in unknown})
+            for i in unknown:
+                w = flat[i]
+                found[i] = self.ids[w]
+        ends = list(accumulate(map(len, texts), initial=0))
+        return [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@cache
+def encoder_at(path: str) -> WordEncoder:
+    """One encoder a worker process, kept from task to task."""
+    return WordEncoder(path)
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
@@ -138,10 +205,7 @@ def packed(docs: DataFrame, encoder: Callable[[], WordEncoder], id: str = "doc_i
             for batch in batches:
                 types[:] = [batch.schema.field(0).type]
                 for piece in pieces(batch, "text", PIECE_BYTES):
-                    data, at = text_buffer(piece.column(1))
-                    raw = data.tobytes()
-                    texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    for key, ids in zip(piece.column(0).to_pylist(), encode.encode(texts), strict=True):
+                    for key, ids in zip(piece.column(0).to_pylist(), encode.encode(*text_buffer(piece.column(1))), strict=True):
                         yield key, ids + end
 
         rows: list[tuple] = []
@@ -159,10 +223,10 @@ def packed(docs: DataFrame, encoder: Callable[[], WordEncoder], id: str = "doc_i
 def word_bpe(path: str | None = None) -> Callable[[], WordEncoder]:
     def make() -> WordEncoder:
         if path is not None:
-            return WordEncoder(path)
+            return encoder_at(path)
         import public_tokenizers
 
-        return WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+        return encoder_at(public_tokenizers.path("word_bpe_49k.json"))
 
     return make
 
