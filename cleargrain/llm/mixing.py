@@ -97,7 +97,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         h, m, k, x = half[todo], mask[todo], key[todo], out[todo]
         left, right = x >> h, x & m
         for turn in range(4):
-            left, right = right, left ^ (mix(right + k + U64(turn) * U64(0x9E3779B97F4A7C15)) & m)
+            left, right = right, left ^ (mix(right + k + U64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= limit[todo]]
     return out.astype(np.int64)
@@ -182,7 +182,8 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """Rows of docs as the mix takes them: a text holds the words taken from it, in order, joined by spaces.
+    """Rows of docs as the mix takes them: a text holds the words taken from it, in order, with the white space
+    between them; a gap is one space.
 
     Words that are taken a second time are in a second row of the same id, and so on. Other columns repeat.
     """
@@ -203,13 +204,20 @@ def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
             spans_, counted = batch.column("__spans").to_pylist(), batch.column("__size").to_pylist()
             rows, texts = [], []
             for i, (whole, found, n) in enumerate(zip(own.column(place).to_pylist(), spans_, counted, strict=True)):
-                had = (whole or "").encode().split()
-                if len(had) != n:
+                data, at = text_buffer(pa.array([whole], pa.string()))
+                start, end, _ = words(data, at)
+                if len(start) != n:
                     continue
+                raw = data.tobytes()
                 for turn in range(max(x["times"] for x in found)):
-                    part = [w for x in found if x["times"] > turn for w in had[x["lo"] : x["hi"]]]
+                    part: list[list[int]] = []
+                    for x in (x for x in found if x["times"] > turn):
+                        if part and part[-1][1] == x["lo"]:
+                            part[-1][1] = x["hi"]
+                        else:
+                            part.append([x["lo"], x["hi"]])
                     rows.append(i)
-                    texts.append(b" ".join(part).decode())
+                    texts.append(b" ".join(raw[start[lo] : end[hi - 1]] for lo, hi in part).decode())
             if rows:
                 out = own.take(pa.array(rows))
                 columns = list(out.columns)

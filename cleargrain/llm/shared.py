@@ -1,51 +1,13 @@
-"""What the operators of this subpackage share: the folder that all executors see, and Arrow-batch maps."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleargrain.workspace import settled
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this session under spark.checkpoint.dir; a local temporary one only where that is unset (tests)."""
-    held = getattr(spark.sparkContext, "_cleargrain_folder", None)
-    if held is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cleargrain-")
-        held = f"{root.rstrip('/')}/cleargrain-{uuid.uuid4().hex}"
-        spark.sparkContext._cleargrain_folder = held
-        atexit.register(_remove, spark, held)
-    return held
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001 the session may be gone, and its folder with it
-        pass
-
-
-def settled(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again: lineage ends there, and its size is known to the planner."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def arrow_map(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return frame.mapInArrow(work, schema)
-
-
-def empty_as(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+__all__ = ["read_table", "settled", "training_remainder"]
 
 
 def training_remainder(column: str, divisor: int):
@@ -53,9 +15,5 @@ def training_remainder(column: str, divisor: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def path_of(sf_dir: str, table: str) -> str:
-    return f"{sf_dir}/{table}.parquet"
-
-
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(path_of(sf_dir, table))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
