@@ -67,19 +67,21 @@ _SPARK = (
 @contextmanager
 def sanitised() -> Iterator[None]:
     """Spark's errors quote cell values; these become typed errors without them."""
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     try:
         yield
-    except PySparkException as error:
-        text = f"{error.getCondition() or ''} {error}"
+    except (PySparkException, Py4JJavaError) as error:
+        condition = error.getCondition() if isinstance(error, PySparkException) else None
+        text = f"{condition or ''} {error}"
         if found := re.search(r"\[USER_RAISED_EXCEPTION\].*?cleargrain:(\w+):([\w ,.'-]*)", text, re.S):
             category = next((c for c in Category if c.value[0] == found[1]), Category.INTERNAL)
             raise CleaningError(category, found[2].strip()) from None
         for names, category, said in _SPARK:
             if any(n in text for n in names):
                 raise CleaningError(category, said) from None
-        raise CleaningError(Category.INTERNAL, error.getCondition() or type(error).__name__) from None
+        raise CleaningError(Category.INTERNAL, condition or type(error).__name__) from None
 
 
 def raised(category: Category, message: str):

@@ -141,9 +141,8 @@ def _sample_lines(spark: SparkSession, path: str, options: Options, more: int) -
 
 
 def _check_utf8(spark: SparkSession, path: str) -> None:
-    """Files that aren't UTF-8 are refused: the replacement of a bad byte shows as bytes that differ."""
-    raw = spark.read.option("encoding", "UTF-8").text(path)
-    if not raw.where(F.contains("value", F.lit("�"))).isEmpty():
+    """Files that aren't UTF-8 are refused."""
+    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
         fail(Category.INVALID_DATA, "a file isn't UTF-8")
 
 
@@ -202,11 +201,17 @@ def json_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "ndjson":
         lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias(RAW))
         return lines.where(F.length(F.trim(F.col(RAW))) > 0)
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
+    whole = spark.read.option("wholetext", True).text(path).select(_one_value(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
     framed = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(raised(Category.INVALID_DATA, "a file is not one array of objects").cast("variant"))
     return whole.select(F.explode(framed.cast("array<variant>")).alias("v")).select(F.to_json("v").alias(RAW))
 
 
+def _one_value(text: Column) -> Column:
+    """The variant of a text that is exactly one JSON value, else null. Spark's parser stops after a value; in an array it can't."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",1]"))).cast("array<variant>")
+    return F.when(F.size(held) == 2, held[0])
+
+
 def infer_json(spark: SparkSession, path: str, options: Options, kind: str) -> Inspection:
     rows, size, more = [], 0, False
     for (line,) in json_lines(spark, path, kind).limit(options.sample_rows + 1).toLocalIterator():
@@ -325,7 +330,7 @@ def _json_value(v: Column, t: LogicalType) -> tuple[Column, Column]:
 
 def read_json(spark: SparkSession, path: str, schema: LogicalSchema, kind: str, check: bool = True) -> DataFrame:
     """Objects as variants. Unknown and repeated keys, missing required fields and values that don't fit are drift."""
-    rows = json_lines(spark, path, kind).select(RAW, F.try_parse_json(RAW).alias("v"))
+    rows = json_lines(spark, path, kind).select(RAW, _one_value(F.col(RAW)).alias("v"))
     names = F.array(*[F.lit(f.name) for f in schema.fields])
     keys = F.json_object_keys(RAW)
     whole = F.col("v").isNotNull() & keys.isNotNull()
