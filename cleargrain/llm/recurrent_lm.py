@@ -18,7 +18,7 @@ id and text columns are read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import LOWER, pieces, text_buffer, words
-from cleargrain.llm.shared import read_table, settled, training_remainder
+from cleargrain.llm.shared import read_table, settled, taken, training_remainder
 
-VOCABULARY = 8192
+VOCABULARY = 4096
 LOOKUP = 1 << 18
 BINS = 64
-CLASSES = 128
+CLASSES = 64
 HIDDEN = 24
 EMBEDDED = 16
 STEPS, STREAMS = 16, 96
@@ -129,8 +129,16 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     """counts: word, c; texts: training texts, each of which has an end."""
-    top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).collect()
-    listed, known = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64)
+    # The least count that LOOKUP words at most have; of words that tie at it all or none are listed.
+    least, listed_ = None, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(LOOKUP).collect():
+        if listed_ + r["n"] > LOOKUP:
+            break
+        least, listed_ = r["c"], listed_ + r["n"]
+    found = counts.where(F.col("c") >= least).toArrow() if least is not None else None
+    listed, known = (found.column("word").to_pylist(), found.column("c").to_numpy()) if found is not None else ([], np.zeros(0, np.int64))
+    order = sorted(range(len(listed)), key=lambda i: (-known[i], listed[i]))
+    listed, known = [bytes(listed[i]) for i in order], known[order].astype(np.int64)
     size = F.octet_length("word")
     code = lambda at: F.conv(F.hex(F.expr(f"substring(word, {at}, 1)")), 16, 10).cast("long")
     bins = F.pmod(code("octet_length(word)") * 31 + F.when(size > 1, code("octet_length(word) - 1")).otherwise(0) * 17, F.lit(BINS))
@@ -194,19 +202,26 @@ class Network:
     def step(self, inputs: np.ndarray, h: np.ndarray):
         """inputs: (n, 3 * HIDDEN) from embeddings. Gates: how much is kept, how much is looked at, what is new."""
         g = h @ self.p["U"]
-        z = _sigmoid(inputs[:, :HIDDEN] + g[:, :HIDDEN])
-        r = _sigmoid(inputs[:, HIDDEN : 2 * HIDDEN] + g[:, HIDDEN : 2 * HIDDEN])
+        gates = _sigmoid(inputs[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         n = np.tanh(inputs[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
         return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
 
+    def _tame(self) -> bool:
+        """Whether no logit can leave the range that float32's exponential has, as a state's values are within -1 and 1."""
+        most = lambda w, b, axis: float(np.max(np.where(b > -1e8, np.abs(w).sum(axis) + np.abs(b), 0)))
+        return max(most(self.p["C"], self.p["cb"], 0), most(self.p["O"], self.p["ob"], 2)) < 80
+
     def output(self, h: np.ndarray, symbol: np.ndarray, gradients: dict | None = None):
         """Natural log probabilities of the symbols; with gradients, also what flows back into h."""
         place = self.place[symbol]
         cls, inner = place // self.per, place % self.per
         logits = h @ self.p["C"] + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
+        tame = self._tame()
+        if not tame:
+            logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ np.ones(self.classes, np.float32)
         rows = np.arange(len(h))
         out = logits[rows, cls] - np.log(total)
         back = None
@@ -223,9 +238,10 @@ class Network:
             at = order[edge[c] : edge[c + 1]]
             own = h[at]
             x = own @ self.p["O"][c].T + self.p["ob"][c]
-            x -= x.max(1, keepdims=True)
+            if not tame:
+                x -= x.max(1, keepdims=True)
             e = np.exp(x)
-            total = e.sum(1)
+            total = e @ np.ones(self.per, np.float32)
             r = np.arange(len(at))
             out[at] += x[r, inner[at]] - np.log(total)
             if back is not None:
@@ -381,15 +397,15 @@ def trained(docs: DataFrame, id: str, text: str, lex: Lexicon, share: float = TR
     return sum(r["weight"] / weight * np.frombuffer(bytes(r["parameters"]), "<f4").astype(np.float64) for r in rows).astype(np.float32)
 
 
-def scored(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", share: float = TRAIN_SHARE) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row; learning from rows where `training` holds."""
+def scored(docs: DataFrame, training: Callable[[str], Column], id: str = "doc_id", text: str = "text", share: float = TRAIN_SHARE) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row; learning from rows where `training` of the id's column holds."""
     spark = docs.sparkSession
-    learnt = docs.where(training)
-    counts = settled(word_counts(learnt, text), "counts")
+    docs = taken(docs, id=id, text=text).withColumn("held_out", ~training("id"))
+    learnt = docs.where("NOT held_out")
+    counts = settled(word_counts(learnt, "text"), "counts")
     lex = lexicon(counts, learnt.count())
-    parameters = trained(learnt, id, text, lex, share)
+    parameters = trained(learnt, "id", "text", lex, share)
     shared = spark.sparkContext.broadcast((lex, parameters))
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), (~training).alias("held_out"))
     names = ["id", "held_out", "row", "n_tokens", "known", "counted", "model", "beyond"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +415,7 @@ def scored(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "t
         at_row = TaskContext.get().partitionId() << 33
         log_bin = np.log10(lex.bin_mass)
         for batch in batches:
-            for piece in pieces(batch, "text", 8 * PIECE_BYTES):
+            for piece in pieces(batch, "text", 2 * PIECE_BYTES):
                 ranks, symbols, before, found = lex.read(piece.column(1))
                 n = np.diff(before)
                 row = np.repeat(np.arange(len(n)), n)
@@ -416,8 +432,8 @@ def scored(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "t
                 yield pa.record_batch([piece.column(0), piece.column(2), pa.array(at_row + np.arange(len(n))), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(model), beyond], names=names)
                 at_row += len(n)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    first = settled(rows.mapInArrow(work, f"id {kind}, held_out boolean, row long, n_tokens long, known long, counted double, model double, beyond array<binary>"), "scored")
+    kind = docs.schema["id"].dataType.simpleString()
+    first = settled(docs.mapInArrow(work, f"id {kind}, held_out boolean, row long, n_tokens long, known long, counted double, model double, beyond array<binary>"), "scored")
     rare = first.select("row", F.explode("beyond").alias("word"))
     rare = rare.join(counts, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     rare = rare.groupBy(F.col("row").alias("__row")).agg(F.sum(F.log10(F.col("c") + 0.1)).alias("logs"), F.sum((F.col("c") > 0).cast("long")).alias("more"))
@@ -436,4 +452,4 @@ def scored(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "t
 
 
 def op3_recurrent_lm(spark, sf_dir: str) -> DataFrame:
-    return scored(read_table(spark, sf_dir, "documents"), training_remainder("doc_id", 10) != 0)
+    return scored(read_table(spark, sf_dir, "documents"), lambda id: training_remainder(id, 10) != 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cleargrain.workspace import settled
 
-__all__ = ["read_table", "settled", "training_remainder"]
+__all__ = ["plain", "read_table", "settled", "taken", "training_remainder"]
 
 
 def training_remainder(column: str, divisor: int):
@@ -15,5 +15,15 @@ def training_remainder(column: str, divisor: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ... by place, so that no name of theirs clashes with another or with an operator's own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def taken(docs: DataFrame, **names: str) -> DataFrame:
+    """Some columns of docs, each under another name."""
+    return plain(docs).select(*[F.col(f"c{docs.columns.index(own)}").alias(name) for name, own in names.items()])
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
