@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import LOWER, pieces, row_sums, text_buffer
-from cleargrain.llm.shared import read_table, training_remainder
+from cleargrain.llm.shared import read_table, taken, training_remainder
 
 SAMPLE_BYTES = 1 << 14
 PART_BYTES = 1 << 10
@@ -47,7 +47,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """(states, symbols + 1) transitions, -1 where there is none; state 0 is the start. The last symbol never occurs."""
+    """(states + 1, symbols + 1) transitions, -1 where there is none; state 0 is the start.
+
+    The last symbol never occurs, and the last state, of which nothing follows, stands for no state.
+    """
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -73,7 +76,7 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(moves), symbols + 1), -1, np.int32)
+    table = np.full((len(moves) + 1, symbols + 1), -1, np.int32)
     for state, own in enumerate(moves):
         for c, to in own.items():
             table[state, c] = to
@@ -113,14 +116,13 @@ def phrases(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not len(row):
         return out
     live = np.searchsorted(-size, -np.arange(1, BLOCK + 1), "right")
-    width = model.symbol.max() + 1 if len(model.symbol) else 1
     columns = [symbols[start[:n] + j] for j, n in enumerate(live.tolist()) if n]
     for k, table in enumerate(model.tables):
         flat, stride = table.ravel(), table.shape[1]
-        assert stride >= width
-        first = np.maximum(table[0], 0) * stride
-        state = np.zeros(len(row), np.int64)
-        count = np.ones(len(row), np.int64)
+        none = (len(table) - 1) * stride  # no phrase is open
+        first = np.where(table[0] < 0, none, table[0].astype(np.int64) * stride)
+        state = np.full(len(row), none)
+        count = np.zeros(len(row), np.int64)
         for c in columns:
             n = len(c)
             to = flat[state[:n] + c].astype(np.int64) * stride
@@ -133,7 +135,7 @@ def phrases(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, id: str, text: str, lang: str, sample_bytes: int = SAMPLE_BYTES, part_bytes: int = PART_BYTES) -> dict[str, bytes]:
     """Each language's sample: parts of rows in the order of a hash of their ids, about twice as many rows as are needed."""
-    rows = docs.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
+    rows = taken(docs, id=id, lang=lang, text=text).where("lang IS NOT NULL AND length(text) > 0")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return {}
@@ -152,7 +154,7 @@ def sample(docs: DataFrame, id: str, text: str, lang: str, sample_bytes: int = S
 
 def identified(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, lang_pred, score (how far the second-best cross entropy is above the best, as a share of it) for each row."""
-    part = docs.select(F.col(id).alias(id), F.col(text).alias("text"))
+    part = taken(docs, **{id: id, "text": text})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
