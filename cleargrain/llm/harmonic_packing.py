@@ -14,6 +14,7 @@ split into partitions; a task that runs again gives the same ones.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -33,7 +34,7 @@ CAPACITY = 2048
 #: Shorter rests are not cut further.
 LEAST = 96
 #: Words whose ids a worker remembers before it forgets old ones.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 END = 1
 PIECE_BYTES = 1 << 21
 OUT_ROWS = 20_000
@@ -112,7 +113,15 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Ids of the texts in a buffer with offsets."""
-        data, at = parted(data, at)
+        was = gc.isenabled()
+        gc.disable()  # millions of words are made and none is in a cycle
+        try:
+            return self._encoded(*parted(data, at))
+        finally:
+            if was:
+                gc.enable()
+
+    def _encoded(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         raw = data.tobytes()
         texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         found = list(map(self.ids.get, chain.from_iterable(texts)))
