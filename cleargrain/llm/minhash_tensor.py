@@ -150,12 +150,12 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     signed = settled(signatures(docs, id, text, size, halves, rows), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("halves").alias("halves"), F.first("parity").alias("parity"))
     tables = F.array(*[F.xxhash64(F.lit(i * halves + j), F.col("halves")[i], F.col("halves")[halves + j]) for i in range(halves) for j in range(halves)])
-    keyed = classes.select("id", "n", F.explode(tables).alias("key"))
+    keyed = classes.select("id", "n", F.posexplode(tables).alias("table", "key"))
     many = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
     shared = settled(keyed.join(many, "key"), "shared")
     central = shared.groupBy("id").agg(F.sum("members").alias("score"))
     led = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("leader"))
-    met = settled(shared.select("id", "n", "key").join(led, "key"), "met")
+    met = settled(shared.select("id", "n", "table", "key").join(led, "key"), "met")
     wanted = met.select("id").distinct()
     sets = settled(shingle_sets(docs.join(wanted, docs[id] == wanted["id"], "left_semi"), id, text, size), "sets")
     stars = met.where("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
@@ -170,14 +170,19 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     far = near.select(F.col("x").alias("leader"), F.col("y").alias("id"), (1 - F.col("shared") / F.col("joined")).alias("d"))
     open_ = with_component.where("id <> leader").join(apart, "key", "left_semi").join(far, ["leader", "id"])
     folded = [reduce(Column.bitwiseXOR, [F.col("parity")[i] for i in range(k, SKETCH, FOLDED)]).alias(f"f{k}") for k in range(FOLDED)]
-    open_ = settled(open_.join(classes.select("id", "parity", *folded), "id"), "open")
-    a, b = (open_.select("key", F.col("id").alias(x), F.col("parity").alias(f"p{x}"), *(F.col(f"f{k}").alias(f"f{k}{x}") for k in range(FOLDED)), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in "xy")
+    own = [F.col("halves")[k].alias(f"h{k}") for k in range(2 * halves)]
+    open_ = settled(open_.join(classes.select("id", "parity", *folded, *own), "id"), "open")
+    a, b = (open_.select("key", *(["table"] if x == "x" else []), F.col("id").alias(x), F.col("parity").alias(f"p{x}"), *(F.col(f"h{k}").alias(f"h{k}{x}") for k in range(2 * halves)), *(F.col(f"f{k}").alias(f"f{k}{x}") for k in range(FOLDED)), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("d").alias(f"d{x}")) for x in "xy")
     bits = lambda pairs: reduce(Column.__add__, [F.bit_count(p.bitwiseXOR(q)) for p, q in pairs])
     near_enough = lambda differ: differ * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    # A pair is looked at in the first table that it shares, and in none of the others.
+    earlier = lambda part, first: reduce(Column.__or__, [(part > k) & (F.col(f"h{first + k}x") == F.col(f"h{first + k}y")) for k in range(halves)])
+    seen = earlier(F.expr(f"table div {halves}"), 0) | earlier(F.col("table") % halves, halves)
     rest = (
         a.join(b, "key")
         .where("x < y AND cx <> cy")
         .where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        .where(~seen)
         .where(F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9)
         .where(near_enough(bits((F.col(f"f{k}x"), F.col(f"f{k}y")) for k in range(FOLDED))))
         .where(near_enough(bits((F.col("px")[i], F.col("py")[i]) for i in range(SKETCH))))
