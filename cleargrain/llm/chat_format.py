@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.chat_template import compile_template
-from cleargrain.llm.shared import read_table
+from cleargrain.llm.shared import read_table, taken
 
 TEMPLATE = (
     "{%- for m in messages -%}"
@@ -62,7 +62,7 @@ def rendered(rows: DataFrame, template: str = TEMPLATE, conversation: str = "con
 
     A conversation's parts come in order within one partition.
     """
-    part = rows.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    part = taken(rows, conv=conversation, turn=turn, role=role, text=text)
     part = part.repartition(F.col("conv")).sortWithinPartitions("conv", "turn", "role", "text")
     kind = part.schema["conv"].dataType.simpleString()
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import pieces, text_buffer
-from cleargrain.llm.shared import read_table
+from cleargrain.llm.shared import read_table, taken
 
 BLOCK = 576
 RATE = 8000
@@ -467,7 +467,7 @@ def padded(raw: bytes) -> bytes:
 
 def encoded(rows: DataFrame, id: str, payload: str) -> DataFrame:
     """id and media: the payload, padded to whole blocks unless empty, as a FLAC stream."""
-    part = rows.select(F.col(id).alias(id), F.col(payload).cast("binary").alias("payload"))
+    part = taken(rows, **{id: id, "payload": payload}).withColumn("payload", F.col("payload").cast("binary"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,7 +480,7 @@ def encoded(rows: DataFrame, id: str, payload: str) -> DataFrame:
 
 def pcm_blocks(rows: DataFrame, id: str, media: str) -> DataFrame:
     """id, block, sample_offset, byte_offset (of the frame in the stream), pcm (unsigned 8-bit samples) per block."""
-    part = rows.select(F.col(id).alias(id), F.col(media).alias("media"))
+    part = taken(rows, **{id: id, "media": media})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,7 +506,7 @@ DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text through `encode` and `decode`; every figure but n_bytes comes from the stored stream."""
-    part = docs.select(F.col(id).alias(id), F.col(text).alias("text"))
+    part = taken(docs, **{id: id, "text": text})
     names = [x.split()[0] for x in DIGESTS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import LOWER, pieces, text_buffer
-from cleargrain.llm.shared import read_table
+from cleargrain.llm.shared import read_table, taken
 
 CAPACITY = 2048
 #: Shorter rests are not cut further.
@@ -203,7 +203,7 @@ def filled(documents: Iterator[tuple[object, bytes]], first_sequence: int, capac
 
 def packed(docs: DataFrame, encoder: Callable[[], WordEncoder], id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
     """id, start, length, ids (bytes of little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset per piece."""
-    part = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    part = taken(docs, id=id, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()

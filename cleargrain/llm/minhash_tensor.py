@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import LOWER, U64, mix, pieces, prefix_hashes, span_hashes, text_buffer, window_hashes, words
 from cleargrain.llm.components import connected
-from cleargrain.llm.shared import read_table, settled
+from cleargrain.llm.shared import plain, read_table, settled, taken
 
 HALVES = 7
 ROWS = 2
@@ -101,7 +101,7 @@ def parities(found: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """id, n (size of the shingle set), s1 and s2 (128 bits that stand for the set), halves (the half keys), parity (the sketch)."""
-    part = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    part = taken(docs, id=id, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int = HAL
 
 def shingle_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     """id and the whole set of shingle hashes."""
-    part = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    part = taken(docs, id=id, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +147,8 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """Per row of docs: id, n_shingles, component (smallest id that links of at least `percent` reach, itself included)."""
-    signed = settled(signatures(docs, id, text, size, halves, rows), "signatures")
+    docs = taken(docs, id=id, text=text)
+    signed = settled(signatures(docs, "id", "text", size, halves, rows), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("halves").alias("halves"), F.first("parity").alias("parity"))
     tables = F.array(*[F.xxhash64(F.lit(i * halves + j), F.col("halves")[i], F.col("halves")[halves + j]) for i in range(halves) for j in range(halves)])
     keyed = classes.select("id", "n", F.posexplode(tables).alias("table", "key"))
@@ -157,7 +158,7 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     led = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("leader"))
     met = settled(shared.select("id", "n", "table", "key").join(led, "key"), "met")
     wanted = met.select("id").distinct()
-    sets = settled(shingle_sets(docs.join(wanted, docs[id] == wanted["id"], "left_semi"), id, text, size), "sets")
+    sets = settled(shingle_sets(docs.join(wanted.withColumnRenamed("id", "wanted"), F.col("id") == F.col("wanted"), "left_semi"), "id", "text", size), "sets")
     stars = met.where("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
     near = settled(compared(stars, sets).groupBy("x", "y").agg(F.max(F.struct(F.col("shared") / F.col("joined"), "shared", "joined")).alias("m")).select("x", "y", "m.shared", "m.joined"), "stars")
     similar = 100 * F.col("shared") >= percent * F.col("joined")
@@ -200,8 +201,8 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of their component; rows with a null id stay."""
-    gone = near_components(docs, id, text, size, percent).where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id] == gone["__gone"], "left_anti")
+    gone = near_components(docs, id, text, size, percent).where("id <> component").select(F.col("id").alias("gone")).distinct()
+    return plain(docs).join(gone, F.col(f"c{docs.columns.index(id)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import U64, mix, pieces, text_buffer, words
-from cleargrain.llm.shared import read_table, settled
+from cleargrain.llm.shared import plain, read_table, settled, taken
 
 BLOCK = 512
 #: Slots of one output shard: at least SHARD_SLOTS, and so many that there are at most MOST_SHARDS shards.
@@ -38,7 +38,7 @@ PIECE_BYTES = 1 << 20
 
 def sizes(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
     """id, source, size (words of the whole text) for each row."""
-    part = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    part = taken(docs, id=id, source=source, text=text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +83,7 @@ def shard_counts(need: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             open_ -= int(drawn.sum())
         rows.append(row)
         left -= row
-    return np.array(rows, np.int64).reshape(-1, len(need))
+    return np.array(rows, np.int64) if rows else np.zeros((0, len(need)), np.int64)
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -191,16 +191,18 @@ def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     placed, times, _ = mixed(docs, id, text, source, **how)
     spans = taken_spans(placed, times, block).groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), "first", F.col("size").alias("__size")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__spans"))
     spans = spans.withColumnRenamed("first", "__first").withColumn("__key", F.xxhash64("__id", "__source"))
-    met = docs.withColumn("__row", F.xxhash64(id, source)).join(spans, (F.col("__row") == F.col("__key")) & docs[id].eqNullSafe(spans["__id"]) & docs[source].eqNullSafe(spans["__source"]))
+    own_id, own_source = (f"c{docs.columns.index(c)}" for c in (id, source))
+    met = plain(docs).withColumn("__row", F.xxhash64(own_id, own_source))
+    met = met.join(spans, (F.col("__row") == F.col("__key")) & F.col(own_id).eqNullSafe(F.col("__id")) & F.col(own_source).eqNullSafe(F.col("__source")))
     alike = Window.partitionBy("__row", "__id", "__source", "__first").orderBy("__size")  # rows alike meet each other's words
-    met = met.withColumn("__turn", F.row_number().over(alike)).where("__turn = 1").select(*[docs[c] for c in docs.columns], "__spans", "__size")
+    met = met.withColumn("__turn", F.row_number().over(alike)).where("__turn = 1").select(*plain(docs).columns, "__spans", "__size")
     place = docs.columns.index(text)
     names = docs.columns
     schema = docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.select(names)
+            own = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
             spans_, counted = batch.column("__spans").to_pylist(), batch.column("__size").to_pylist()
             rows, texts = [], []
             for i, (whole, found, n) in enumerate(zip(own.column(place).to_pylist(), spans_, counted, strict=True)):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import SPACE, mix, pieces, prefix_hashes, row_of, row_sums, span_hashes, text_buffer, window_hashes, words
+from cleargrain.llm.shared import taken
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -210,7 +211,7 @@ def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
                     spent[k] += time.thread_time() - began
         yield pa.record_batch([pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(hits)], names=["rule", "spent", "hits"])
 
-    found = docs.select(F.col(text).alias("text")).sample(False, min(1.0, sample_rows / total), seed).mapInArrow(measure, "rule int, spent double, hits long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits")).collect()
+    found = taken(docs, text=text).sample(False, min(1.0, sample_rows / total), seed).mapInArrow(measure, "rule int, spent double, hits long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits")).collect()
     worth = {r["rule"]: r["hits"] / max(r["spent"], 1e-9) for r in found}
     cost = {r["rule"]: r["spent"] for r in found}
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0), cost.get(k, 0), k)))
@@ -225,7 +226,7 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple
     Rows may fail several rules; failed_rule then is the first in the order that `ordered` settled.
     """
     plan = ordered(docs, text, rules)
-    rows = docs.select(F.col(id).alias(id), F.col(text).alias("text"))
+    rows = taken(docs, **{id: id, "text": text})
     names = [x.split()[0] for x in COLUMNS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cleargrain.llm.bwt_repeats import repeated
 from cleargrain.llm.bytescan import U64, _INVERSE, _powers_of, mix, pieces, prefix_hashes, span_hashes, text_buffer
-from cleargrain.llm.shared import read_table, settled
+from cleargrain.llm.shared import plain, read_table, settled, taken
 
 LEAST = 200
 SEED = 50
@@ -86,7 +86,7 @@ def windows(data: np.ndarray, at: np.ndarray, least: int, seed: int) -> tuple[np
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     """__id and __row, which together stand for a row's id and whole text, and text."""
-    return docs.select(F.col(id).alias("__id"), F.xxhash64(F.col(id), F.col(text)).alias("__row"), F.col(text).alias("text"))
+    return taken(docs, __id=id, text=text).select("__id", F.xxhash64("__id", "text").alias("__row"), "text")
 
 
 def _anchor_counts(rows: DataFrame, least: int, seed: int) -> DataFrame:
@@ -263,19 +263,20 @@ def _kept(raw: bytes, edges: list[int]) -> bytes:
 
 
 def _joined(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
-    row = F.xxhash64(F.col(id), F.col(text))
-    keyed = docs.withColumn("__key", row)
-    return keyed.join(found, (keyed["__key"] == found["__row"]) & keyed[id].eqNullSafe(found["__id"]), "left").select(*[keyed[c] for c in docs.columns], "pieces")
+    """docs' columns by place, and the pieces."""
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id, text))
+    keyed = plain(docs).withColumn("__key", F.xxhash64(own_id, own_text))
+    return keyed.join(found, (F.col("__key") == F.col("__row")) & F.col(own_id).eqNullSafe(F.col("__id")), "left").select(*plain(docs).columns, "pieces")
 
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, **how) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    part = docs.select(F.col(id).alias(id), F.col(text).alias("text"))
+    part = taken(docs, **{id: id, "text": text})
     met = _joined(part, spans(part, id, "text", least, **how), id, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", 4 * PIECE_BYTES):
+            for piece in pieces(batch, "c1", 4 * PIECE_BYTES):
                 data, at = text_buffer(piece.column(1))
                 raw = data.tobytes()
                 rows = []

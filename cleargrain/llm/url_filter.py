@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.shared import read_table, settled
+from cleargrain.llm.shared import read_table, settled, taken
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
@@ -77,11 +77,12 @@ def host_scores(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """id, host, path, rule, verdict, trust, distrust for each row of pages."""
-    parted = pages.select(F.col(id).alias(id), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    pages = taken(pages, **{id: id, "url": url, "html": html})
+    parted = pages.select(id, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = parted.select(id, "host", "path", by_rule(rules, 0).alias("rule"), by_rule(rules, 1).alias("ruled"))
     share = lambda verdict: F.avg(F.when(F.col("ruled") == verdict, 1.0).otherwise(0.0))
     hosts = ruled.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
-    edges = host_edges(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")))
+    edges = host_edges(pages.select(host_of(F.col("url")).alias("host"), "html"))
     scores = host_scores(hosts, edges, damping, rounds).withColumnRenamed("host", "scored")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     joined = ruled.join(scores, F.col("host") == F.col("scored"), "left").select(id, "host", "path", "rule", "ruled", zero("trust").alias("trust"), zero("distrust").alias("distrust"))
