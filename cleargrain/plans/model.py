@@ -8,8 +8,9 @@ from collections import Counter, deque
 from dataclasses import dataclass, field, fields, is_dataclass
 
 from cleargrain.errors import Category, fail, secret_key, secret_value
-from cleargrain.functions.expressions import Expr, guard
-from cleargrain.plans.types import LogicalType
+from cleargrain.functions import expressions
+from cleargrain.functions.expressions import Expr, Lit, guard
+from cleargrain.plans.types import LogicalField, LogicalType, simple, timestamp
 
 #: Fixed limits of plans.
 PLAN_VERSION, MAX_NODES, MAX_RULES, MAX_BYTES, MAX_KEYS = 1, 64, 256, 4 << 20, 64
@@ -169,11 +170,50 @@ class Plan:
         return hashlib.sha256(self.canonical()).hexdigest()
 
 
+    @staticmethod
+    def from_json(text: str | bytes) -> Plan:
+        """A plan from its canonical JSON; what isn't one is an invalid plan."""
+        if len(text) > MAX_BYTES:
+            fail(Category.LIMIT_EXCEEDED, "the plan is too large")
+        try:
+            body = json.loads(text)
+            return Plan({k: _parsed(v) for k, v in body["nodes"].items()}, body["root"], body["version"])
+        except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
+            return fail(Category.INVALID_PLAN, "the plan can't be read")
+
+
+def _parsed(value: object, depth: int = 0) -> object:
+    """What `_json` made, back as objects of the kinds that a plan may hold."""
+    if depth > 4 * MAX_NODES:
+        fail(Category.LIMIT_EXCEEDED, "the plan is nested too deeply")
+    if isinstance(value, list):
+        return tuple(_parsed(v, depth + 1) for v in value)
+    if not isinstance(value, dict):
+        return value
+    kind = _KINDS[value["kind"]]
+    if kind is Lit:
+        return Lit(value["value"], value["literal"])
+    made = {}
+    for f in fields(kind):
+        made[f.name] = _parsed_type(value[f.name]) if f.type == "LogicalType" else _parsed(value[f.name], depth + 1)
+    return kind(**made)
+
+
+def _parsed_type(value: object) -> LogicalType:
+    if isinstance(value, str):
+        return simple(value)
+    if "timestamp" in value:
+        return timestamp(value["timestamp"]["unit"], value["timestamp"]["timezone"])
+    if "list" in value:
+        return LogicalType("list", item=_parsed_type(value["list"]))
+    return LogicalType("struct", fields=tuple(LogicalField(f["id"], f["name"], _parsed_type(f["type"]), f["nullable"], tuple(f["metadata"].items())) for f in value["struct"]))
+
+
 def _json(value: object) -> object:
     if isinstance(value, LogicalType):
         return value.json()
     if is_dataclass(value):
-        return {"kind": type(value).__name__} | {f.name: _json(getattr(value, f.name)) for f in fields(value)}
+        return {f.name: _json(getattr(value, f.name)) for f in fields(value)} | ({"literal": value.kind} if isinstance(value, Lit) else {}) | {"kind": type(value).__name__}
     if isinstance(value, (tuple, list)):
         return [_json(v) for v in value]
     return value
@@ -264,3 +304,12 @@ def check_rule(rule: Rule) -> None:
             guard(p)
             if severity not in ("warning", "error") or not message.strip() or secret_value(message):
                 fail(Category.INVALID_PLAN, "validation needs a severity and a message that is no secret")
+
+
+_KINDS = {
+    k.__name__: k
+    for k in (
+        Scan, Project, Filter, ApplyRules, Join, Union, Materialize, Rename, CastColumn, Trim, ReplaceLiteral, FillNull, DropColumn, DeriveColumn, FilterRows, Deduplicate, Validate,
+        expressions.Col, Lit, expressions.Unary, expressions.Binary, expressions.IsNull, expressions.Cast, expressions.Coalesce,
+    )
+}
