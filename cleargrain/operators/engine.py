@@ -30,8 +30,7 @@ def supervised(spark: SparkSession, context: Context, every: float = 0.1) -> Ite
                 context.check()
             except CleaningError as error:
                 ended.append(error)
-                spark.sparkContext.cancelJobsWithTag(tag)
-                return
+                spark.sparkContext.cancelJobsWithTag(tag)  # again each time: a job may start after the first call
 
     context.check()
     spark.sparkContext.addJobTag(tag)

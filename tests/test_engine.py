@@ -57,14 +57,14 @@ def test_a_run_publishes_or_leaves_nothing(spark, tmp_path):
 
 
 def test_running_jobs_are_cancelled(spark):
-    slow = spark.range(0, 10**12, 1, 4).selectExpr("sum(sqrt(id))")
+    slow = lambda: spark.range(0, 10**12, 1, 4).selectExpr("sum(sqrt(id))").collect()
     context = Context()
     threading.Timer(0.5, context.cancelled.set).start()
     with pytest.raises(CleaningError) as e, supervised(spark, context):
-        slow.collect()
+        slow()
     assert e.value.category is Category.CANCELLED
     with pytest.raises(CleaningError) as e, supervised(spark, Context(0.3)):
-        slow.collect()
+        slow()
     assert e.value.category is Category.DEADLINE
 
 
