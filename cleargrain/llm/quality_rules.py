@@ -165,7 +165,7 @@ class Rule:
 #: Wide limits: what any of them rejects is no prose in any language.
 RULES = (
     Rule("mean_word", lambda t: (word_chars(t) > 40 * t.n_words) | (2 * word_chars(t) < 3 * t.n_words)),
-    Rule("symbols", lambda t: 2 * n_symbols(t) > t.n_words),
+    Rule("symbols", lambda t: 4 * n_symbols(t) > t.n_words),
     Rule("letters", lambda t: 2 * letter_words(t) < t.n_words),
     Rule("same_lines", lambda t: (n_dup_lines(t) >= 3) & (2 * n_dup_lines(t) > lines_with_words(t))),
     Rule("capitals", lambda t: 2 * capitals(t) > ascii_letters(t)),
@@ -287,7 +287,7 @@ WITH d AS (
   FROM w JOIN l USING (rid) LEFT JOIN cover USING (rid)
 ), b AS (
   SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-    (word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS r1, (2 * n_symbols > n_words) AS r2, (2 * letter_words < n_words) AS r3,
+    (word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS r1, (4 * n_symbols > n_words) AS r2, (2 * letter_words < n_words) AS r3,
     (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) AS r4, (20 * controls > word_chars) AS r5, (2 * capitals > ascii_letters) AS r6
   FROM f
 )
