@@ -550,3 +550,6 @@ def _preview(spark, sf_dir):
 def _node_preview(spark, sf_dir):
     """A plan compiled only as far as one of its nodes."""
     return compile_plan(_flagship(), sources(spark, sf_dir), "n1").df.agg(F.count("*").alias("n"), F.bool_and(F.col("o_totalprice") > 1000).alias("kept"))
+
+
+from cleargrain.plans import catalog_io  # noqa: E402, F401 registers its queries here
