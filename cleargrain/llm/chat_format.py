@@ -164,3 +164,20 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
     return read_back(rendered(rows.unionByName(own)))
+
+
+SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x, [c IN (chr(27), '<', '[', ']') FOR c IN string_split(coalesce(role, ''), '')] AS rc, [c IN (chr(27), '<', '[', ']') FOR c IN string_split(coalesce(text, ''), '')] AS xc FROM t
+), g AS (
+  SELECT *, length(r) + len(list_filter(rc, lambda b: b)) AS rn, length(x) + len(list_filter(xc, lambda b: b)) AS xn FROM f
+), l AS (
+  SELECT conv_id, coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '') AS loss,
+    string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns, count(*) AS n_turns, sum(14 + 2 * rn + xn)::BIGINT AS formatted_chars
+  FROM g GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM l
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_chat_format": chat_format.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
     "op1_url_filter": url_filter.SQL,
     "op10_minhash_near_dedup": minhash_tensor.SQL,
     "op2_quality_rules": quality_rules.SQL,
