@@ -195,6 +195,7 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         found = connected(links.unionByName(more), "x", "y")
 
     named = classes.select("s1", "s2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
+    named = settled(named, "named")  # a side of its own, so that a class with many copies can be split in the join
     out = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
