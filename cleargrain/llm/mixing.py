@@ -15,6 +15,7 @@ are alike in id and source may change places, which shows nowhere. The same inpu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,12 @@ from cleargrain.llm.bytescan import U64, mix, pieces, text_buffer, words
 from cleargrain.llm.shared import plain, read_table, settled, taken
 
 BLOCK = 512
-#: Slots of one output shard: at least SHARD_SLOTS, and so many that there are at most MOST_SHARDS shards.
-SHARD_SLOTS, MOST_SHARDS = 4096, 4096
+#: Slots of one output shard: at least SHARD_SLOTS, and so many that there are MOST_SHARDS shards and MOST_COUNTS counts of
+#: sources in shards at most. The driver holds these counts and a row for each source.
+SHARD_SLOTS, MOST_SHARDS, MOST_COUNTS = 4096, 4096, 1 << 22
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: Rows of one source that a task orders at once, about.
-STREAM_ROWS = 4096
 PIECE_BYTES = 1 << 20
 
 
@@ -111,7 +111,8 @@ def plan(stats: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGH
     blocks = -(-size // block)
     with np.errstate(invalid="ignore", divide="ignore"):
         need = np.where(size > 0, np.minimum(np.rint(np.where(size > 0, target * blocks / np.maximum(size, 1), 0)), np.floor(most) * blocks), 0).astype(np.int64)
-    per_shard = max(SHARD_SLOTS, -(-int(need.sum()) // MOST_SHARDS))
+    shards = min(MOST_SHARDS, max(1, MOST_COUNTS // max(1, len(stats))))
+    per_shard = max(SHARD_SLOTS, -(-int(need.sum()) // shards))
     counts = shard_counts(need, per_shard, seed)
     return {"sources": [x[0] for x in stats], "size": size, "target": target, "blocks": blocks, "need": need, "counts": counts}
 
@@ -140,13 +141,13 @@ def slots(spark, planned: dict, seed: int = 11) -> DataFrame:
 def streams(sized: DataFrame, planned: dict) -> DataFrame:
     """sized with source_no and first: the number of the source's words before the row's.
 
-    A source is dealt into buckets by a hash of the id, as many as its rows ask for; words are summed by bucket, the
-    buckets in turn, and the rows within each. No task orders more than a bucket.
+    A source is dealt into buckets by a hash of the id, as many as the square root of the largest source's rows; words are
+    summed by bucket, the buckets in turn, and the rows within each. So no task orders more than about that many.
     """
     names = sized.sparkSession.createDataFrame([(s, i) for i, s in enumerate(planned["sources"])], f"source_name {sized.schema['source'].dataType.simpleString()}, source_no int")
     numbered = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
     rows = planned["rows"]
-    spread = max(1, -(-max(rows, default=1) // STREAM_ROWS))
+    spread = math.isqrt(max(rows, default=0)) + 1
     numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
     sums = numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     ahead = sums.withColumn("ahead", F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).drop("words")
