@@ -16,8 +16,6 @@ alike, row by row. An empty table gives an empty result. Only the named columns
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
