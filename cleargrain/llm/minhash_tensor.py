@@ -92,11 +92,15 @@ def half_keys(found: np.ndarray, before: np.ndarray, halves: int, rows: int) ->
 
 def parities(found: np.ndarray, before: np.ndarray) -> np.ndarray:
     """(row, SKETCH) words; bit c is the parity of the number of shingles in cell c."""
-    n = len(before) - 1
-    cell = (mix(found ^ U64(0x8CB92BA72F3D8DD7)) % U64(64 * SKETCH)).astype(np.int64)
-    row = np.repeat(np.arange(n), np.diff(before))
-    flips = np.bincount(row * (64 * SKETCH) + cell, minlength=n * 64 * SKETCH) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(n, SKETCH)
+    n, cells = len(before) - 1, 64 * SKETCH
+    out = np.empty((n, SKETCH), np.int64)
+    cell = (mix(found ^ U64(0x8CB92BA72F3D8DD7)) % U64(cells)).astype(np.int64)
+    for a in range(0, n, 512):  # short texts are many to a piece
+        b = min(n, a + 512)
+        row = np.repeat(np.arange(b - a), np.diff(before[a : b + 1]))
+        flips = np.bincount(row * cells + cell[before[a] : before[b]], minlength=(b - a) * cells) & 1
+        out[a:b] = np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(b - a, SKETCH)
+    return out
 
 
 def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
