@@ -236,8 +236,9 @@ def spans(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int =
     again = settled(_anchor_counts(rows, least, seed), "anchors")
     occurrences = settled(_occurrences(rows, least, seed).join(again, "anchor", "left_semi"), "occurrences")
     distinct = occurrences.groupBy(F.col("anchor").alias("group_"), "content").agg(F.count("*").alias("weight"), F.min(F.struct("__row", "first", "__id")).alias("source"), F.first("n").alias("n"))
-    kinds = distinct.groupBy("group_").agg(F.count("*").alias("kinds"))
-    distinct = settled(distinct.join(kinds, "group_").withColumn("anchor", F.col("group_")), "windows")
+    distinct = settled(distinct, "distinct")
+    kinds = settled(distinct.groupBy("group_").agg(F.count("*").alias("kinds")), "kinds")
+    distinct = distinct.join(kinds, "group_").withColumn("anchor", F.col("group_"))
     texts = settled(_texts(rows, distinct.where("kinds > 1"), least), "texts")
     alone = distinct.where("kinds = 1 AND weight > 1").select("group_", "content", F.array(F.lit(0), F.col("n")).alias("ranges"))
     found = settled(alone.unionByName(_found(texts, least, seed, most)), "found")
@@ -309,3 +310,27 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), s AS (
+  SELECT rid, i, md5(b[i:i + 199]) AS h FROM d, unnest(range(1, octet_length(b) - 198)) AS t(i) WHERE octet_length(b) >= 200
+), r AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1
+), g AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k
+  FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r)
+), p AS (
+  SELECT rid, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY rid, k
+), q AS (
+  SELECT rid, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY rid ORDER BY lo) AS before FROM p
+), x AS (
+  SELECT rid, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(CASE WHEN lo - 1 > before THEN hex(b[before + 1:lo - 1]) ELSE '' END, '' ORDER BY lo) AS front
+  FROM q JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || CASE WHEN coalesce(last, 0) < octet_length(b) THEN hex(b[coalesce(last, 0) + 1:octet_length(b)]) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN x USING (rid)
+"""
