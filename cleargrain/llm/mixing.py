@@ -162,7 +162,9 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     planned = plan([(r["source"], r["size"]) for r in stats], weights, share, most, block, seed)
     planned["rows"] = [r["rows"] for r in stats]
     drawn = slots(docs.sparkSession, planned, seed)
-    return streams(sized, planned), drawn.groupBy("source_no", "block").agg(F.count("*").alias("times")), planned
+    # Spark takes the slots for as few as the runs that they are made from, and would broadcast them at any size.
+    times = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
+    return streams(sized, planned), times, planned
 
 
 def taken_spans(placed: DataFrame, times: DataFrame, block: int = BLOCK) -> DataFrame:
