@@ -4,8 +4,8 @@ The vocabulary is the VOCABULARY most frequent training words, the end of a text
 last two bytes. A word of a bin has the bin's probability times its share of the bin's smoothed corpus counts, so
 every text has a probability. The output softmax is factored: a word's class first, then the word within the class.
 Training is truncated backpropagation through STEPS steps of STREAMS texts side by side, with Adagrad. Trainers work on
-parts of a fixed share of the training texts, TRAINER_TOKENS tokens each, so there are as many as the input asks for; their
-parameters are averaged in a tree, weighted by tokens. A text is scored whole: its state is carried from window to window.
+parts of the training texts, TRAINER_TOKENS tokens each, so there are as many as the input asks for, and every training text
+gives gradients; their parameters are averaged in a tree, weighted by tokens. A text is scored whole: its state is carried from window to window.
 
 Word counts cover all training texts. The LOOKUP most frequent words' counts, a bounded table, are broadcast; the counts of
 all other words meet the texts in a join.
@@ -38,7 +38,6 @@ CLASSES = 64
 HIDDEN = 24
 EMBEDDED = 16
 STEPS, STREAMS = 16, 96
-TRAIN_SHARE = 1 / 12
 TRAINER_TOKENS = 1_000_000
 RATE = 0.15
 FLUSH = 400_000
@@ -209,8 +208,8 @@ class Network:
 
     def _tame(self) -> bool:
         """Whether no logit can leave the range that float32's exponential has, as a state's values are within -1 and 1."""
-        most = lambda w, b, axis: float(np.max(np.where(b > -1e8, np.abs(w).sum(axis) + np.abs(b), 0)))
-        return max(most(self.p["C"], self.p["cb"], 0), most(self.p["O"], self.p["ob"], 2)) < 80
+        most = lambda w, b: float(np.max(np.where(b > -1e8, np.abs(w) @ np.ones(HIDDEN, np.float32) + np.abs(b), 0)))
+        return max(most(self.p["C"].T, self.p["cb"]), most(self.p["O"], self.p["ob"])) < 80
 
     def output(self, h: np.ndarray, symbol: np.ndarray, gradients: dict | None = None):
         """Natural log probabilities of the symbols; with gradients, also what flows back into h."""
@@ -232,24 +231,31 @@ class Network:
             gradients["cb"] = d.sum(0)
             gradients["O"], gradients["ob"] = np.zeros_like(self.p["O"]), np.zeros_like(self.p["ob"])
             back = d @ self.p["C"].T
+        # Rows in the order of their classes, so that only products are taken class by class.
         order = np.argsort(cls, kind="stable")
         edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edge)):
-            at = order[edge[c] : edge[c + 1]]
-            own = h[at]
-            x = own @ self.p["O"][c].T + self.p["ob"][c]
-            if not tame:
-                x -= x.max(1, keepdims=True)
-            e = np.exp(x)
-            total = e @ np.ones(self.per, np.float32)
-            r = np.arange(len(at))
-            out[at] += x[r, inner[at]] - np.log(total)
-            if back is not None:
-                d = e / total[:, None]
-                d[r, inner[at]] -= 1
-                gradients["O"][c] = d.T @ own
-                gradients["ob"][c] = d.sum(0)
-                back[at] += d @ self.p["O"][c]
+        used = np.flatnonzero(np.diff(edge))
+        spans = [(c, slice(edge[c], edge[c + 1])) for c in used.tolist()]
+        own, inner = h[order], inner[order]
+        x = np.empty((len(h), self.per), np.result_type(h, self.p["O"]))
+        for c, at in spans:
+            np.matmul(own[at], self.p["O"][c].T, out=x[at])
+            x[at] += self.p["ob"][c]
+        if not tame:
+            x -= x.max(1, keepdims=True)
+        picked = x[rows, inner]
+        e = np.exp(x, out=x)
+        total = e @ np.ones(self.per, np.float32)
+        out[order] += picked - np.log(total)
+        if back is not None:
+            d = np.divide(e, total[:, None], out=e)
+            d[rows, inner] -= 1
+            into = np.empty_like(own)
+            for c, at in spans:
+                np.matmul(d[at].T, own[at], out=gradients["O"][c])
+                np.matmul(d[at], self.p["O"][c], out=into[at])
+            gradients["ob"][used] = np.add.reduceat(d, edge[used])
+            back[order] += into
         return out, back
 
     def train(self, streams: np.ndarray, end: int) -> None:
@@ -263,9 +269,12 @@ class Network:
             steps = len(x)
             embedded = p["E"][x]
             inputs = embedded @ p["Wx"] + p["b"]
-            kept, states = [], np.empty((steps, n, HIDDEN), np.float32)
+            kept, states, olds = [], np.empty((steps, n, HIDDEN), np.float32), np.empty((steps, n, HIDDEN), np.float32)
+            starts = x == end
             for t in range(steps):
-                old = np.where((x[t] == end)[:, None], np.float32(0), h)
+                old = olds[t]
+                old[:] = h
+                old[starts[t]] = 0
                 h, z, r, new, g = self.step(inputs[t], old)
                 kept.append((old, z, r, new, g))
                 states[t] = h
@@ -273,30 +282,36 @@ class Network:
             _, back = self.output(states.reshape(-1, HIDDEN), want.ravel(), grad)
             back = back.reshape(steps, n, HIDDEN)
             dh = np.zeros((n, HIDDEN), np.float32)
-            dinputs = np.empty_like(inputs)
-            grad["U"] = np.zeros_like(p["U"])
+            dinputs, dgates = np.empty_like(inputs), np.empty_like(inputs)
             for t in range(steps - 1, -1, -1):
                 old, z, r, new, g = kept[t]
                 dh = dh + back[t]
-                dnew = dh * (1 - z) * (1 - new * new)
-                dz = dh * (old - new) * z * (1 - z)
-                dr = dnew * g * r * (1 - r)
-                dinputs[t] = np.concatenate([dz, dr, dnew], 1)
-                dg = np.concatenate([dz, dr, dnew * r], 1)
-                grad["U"] += old.T @ dg
-                dh = np.where((x[t] == end)[:, None], np.float32(0), dh * z + dg @ p["U"].T)
+                kept_not, dg = 1 - z, dgates[t]
+                dnew = dh * kept_not * (1 - new * new)
+                dg[:, :HIDDEN] = dh * (old - new) * z * kept_not
+                dg[:, HIDDEN : 2 * HIDDEN] = dnew * g * r * (1 - r)
+                dg[:, 2 * HIDDEN :] = dnew * r
+                dinputs[t] = dg
+                dinputs[t, :, 2 * HIDDEN :] = dnew
+                dh = dh * z + dg @ p["U"].T
+                dh[starts[t]] = 0
+            grad["U"] = olds.reshape(-1, HIDDEN).T @ dgates.reshape(-1, 3 * HIDDEN)
             flat = dinputs.reshape(-1, 3 * HIDDEN)
             grad["Wx"] = embedded.reshape(-1, EMBEDDED).T @ flat
             grad["b"] = flat.sum(0)
             de = flat @ p["Wx"].T
-            used, where = np.unique(x.ravel(), return_inverse=True)
-            ge = np.zeros((len(used), EMBEDDED), np.float32)
-            np.add.at(ge, where, de)
+            by_symbol = np.argsort(x, axis=None, kind="stable")
+            sorted_ = x.ravel()[by_symbol]
+            first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+            used, ge = sorted_[first], np.add.reduceat(de[by_symbol], first)
             scale = np.float32(1 / n)
             for k, g in grad.items():
-                g = np.clip(g * scale, -1, 1)
+                g *= scale
+                np.minimum(np.maximum(g, -1, out=g), 1, out=g)
                 sums[k] += g * g
-                p[k] -= RATE * g / np.sqrt(sums[k])
+                g *= np.float32(RATE)
+                g /= np.sqrt(sums[k])
+                p[k] -= g
             ge = np.clip(ge * scale, -1, 1)
             sums["E"][used] += ge * ge
             p["E"][used] -= RATE * ge / np.sqrt(sums["E"][used])
@@ -350,10 +365,10 @@ def fresh(lex: Lexicon) -> Network:
     return Network(lex.size, weights)
 
 
-def trained(docs: DataFrame, id: str, text: str, lex: Lexicon, share: float = TRAIN_SHARE) -> np.ndarray:
-    """Parameters learned from a fixed share of the training texts, by as many trainers as their tokens ask for."""
+def trained(docs: DataFrame, id: str, text: str, lex: Lexicon) -> np.ndarray:
+    """Parameters learned from all training texts, by as many trainers as their tokens ask for."""
     spark = docs.sparkSession
-    trainers = max(1, round(lex.tokens * share / TRAINER_TOKENS))
+    trainers = max(1, round(lex.tokens / TRAINER_TOKENS))
     shared = spark.sparkContext.broadcast(lex)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +386,7 @@ def trained(docs: DataFrame, id: str, text: str, lex: Lexicon, share: float = TR
         net.train(tokens[: len(tokens) // n * n].reshape(n, -1), lex.end)
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(len(tokens))]), pa.array([net.flat().astype("<f4").tobytes()], pa.binary())], names=["trainer", "weight", "parameters"])
 
-    unit = F.pmod(F.xxhash64(F.col(id), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    part = docs.where(unit < share).select(F.col(text).alias("text"), F.xxhash64(F.col(id), F.lit(4)).alias("order"))
+    part = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text), F.lit(4)).alias("order"))  # rows with a null id are dealt out too
     part = part.repartition(trainers, "order").sortWithinPartitions("order", "text").select("text")
     schema = "trainer int, weight double, parameters binary"
     models = settled(part.mapInArrow(learn, schema), "models")
@@ -397,14 +411,14 @@ def trained(docs: DataFrame, id: str, text: str, lex: Lexicon, share: float = TR
     return sum(r["weight"] / weight * np.frombuffer(bytes(r["parameters"]), "<f4").astype(np.float64) for r in rows).astype(np.float32)
 
 
-def scored(docs: DataFrame, training: Callable[[str], Column], id: str = "doc_id", text: str = "text", share: float = TRAIN_SHARE) -> DataFrame:
+def scored(docs: DataFrame, training: Callable[[str], Column], id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row; learning from rows where `training` of the id's column holds."""
     spark = docs.sparkSession
     docs = taken(docs, id=id, text=text).withColumn("held_out", ~training("id"))
     learnt = docs.where("NOT held_out")
     counts = settled(word_counts(learnt, "text"), "counts")
     lex = lexicon(counts, learnt.count())
-    parameters = trained(learnt, "id", "text", lex, share)
+    parameters = trained(learnt, "id", "text", lex)
     shared = spark.sparkContext.broadcast((lex, parameters))
     names = ["id", "held_out", "row", "n_tokens", "known", "counted", "model", "beyond"]
 
