@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from cleargrain.llm.bytescan import LOWER, pieces, text_buffer, words
 from cleargrain.llm.shared import read_table, settled, taken, training_remainder
 
-VOCABULARY = 4096
+VOCABULARY = 8192
 LOOKUP = 1 << 18
 BINS = 64
-CLASSES = 64
+CLASSES = 128
 HIDDEN = 24
 EMBEDDED = 16
 STEPS, STREAMS = 16, 96

@@ -1,5 +1,6 @@
 """Operators do the whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cleargrain.llm import recurrent_lm
@@ -9,3 +10,10 @@ def test_every_training_text_gives_gradients(spark):
     docs = spark.createDataFrame([(i, f"p{i} q{i} r{i} " * 2000) for i in range(8)], "doc_id long, text string")
     rows = recurrent_lm.scored(docs, lambda id: F.lit(True)).collect()
     assert len(rows) == 8 and all(r["score"] > 0.8 * r["base_score"] for r in rows)
+
+
+def test_8192_words_have_an_output_of_their_own():
+    words = [f"w{i}".encode() for i in range(9000)]
+    lex = recurrent_lm.Lexicon(words, np.arange(9000, 0, -1), 10, 9010, 9000, np.full(recurrent_lm.BINS, 0.1)).ready()
+    net = recurrent_lm.fresh(lex)
+    assert lex.known == 8192 and lex.symbol[:8192].tolist() == list(range(8192)) and net.classes == 128
