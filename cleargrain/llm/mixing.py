@@ -10,7 +10,7 @@ Blocks and slots meet by index.
 
 Defined results: the null source is a source of its own, the last in order. Null, empty and word-less texts have size 0
 and are never taken. An empty table gives an empty result. Repeated rows each take their place in the stream; rows that
-are alike in id and source may change places, which shows nowhere. The same input gives the same mix.
+are alike in id, source and text may change places. The same input gives the same mix.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import U64, mix, pieces, text_buffer, words
@@ -36,18 +37,23 @@ MOST = 2.0
 PIECE_BYTES = 1 << 20
 
 
+def identity(id: Column, source: Column, text: Column) -> list[Column]:
+    """Two hashes, 128 bits, that stand for a row's id, source and text."""
+    return [F.xxhash64(F.lit(seed), id.isNull(), source.isNull(), id, source, text).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
+
+
 def sizes(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
-    """id, source, size (words of the whole text) for each row."""
-    part = taken(docs, id=id, source=source, text=text)
+    """id, source, size (words of the whole text), k1 and k2 (the identity) for each row."""
+    part = taken(docs, id=id, source=source, text=text).select("id", "source", "text", *identity(F.col("id"), F.col("source"), F.col("text")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_BYTES):
                 data, at = text_buffer(piece.column(2))
-                yield pa.record_batch([piece.column(0), piece.column(1), pa.array(np.diff(words(data, at)[2]))], names=["id", "source", "size"])
+                yield pa.record_batch([piece.column(0), piece.column(1), pa.array(np.diff(words(data, at)[2])), piece.column(3), piece.column(4)], names=["id", "source", "size", "k1", "k2"])
 
     kinds = {x: part.schema[x].dataType.simpleString() for x in ("id", "source")}
-    return part.mapInArrow(work, f"id {kinds['id']}, source {kinds['source']}, size long")
+    return part.mapInArrow(work, f"id {kinds['id']}, source {kinds['source']}, size long, k1 long, k2 long")
 
 
 def targets(size: np.ndarray, weight: np.ndarray, share: float = SHARE, most: float = MOST) -> np.ndarray:
@@ -151,7 +157,7 @@ def streams(sized: DataFrame, planned: dict) -> DataFrame:
     numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
     sums = numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     ahead = sums.withColumn("ahead", F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).drop("words")
-    within = Window.partitionBy("source_no", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source_no", "bucket").orderBy("id", "size", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return numbered.withColumn("upto", F.sum("size").over(within)).join(F.broadcast(ahead) if spread * len(planned["sources"]) <= 1 << 16 else ahead, ["source_no", "bucket"]).withColumn("first", F.col("ahead") + F.col("upto") - F.col("size")).drop("ahead", "upto", "bucket")
 
 
@@ -192,19 +198,28 @@ def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     """
     block = how.get("block", BLOCK)
     placed, times, _ = mixed(docs, id, text, source, **how)
-    spans = taken_spans(placed, times, block).groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), "first", F.col("size").alias("__size")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__spans"))
-    spans = spans.withColumnRenamed("first", "__first").withColumn("__key", F.xxhash64("__id", "__source"))
-    own_id, own_source = (f"c{docs.columns.index(c)}" for c in (id, source))
-    met = plain(docs).withColumn("__row", F.xxhash64(own_id, own_source))
-    met = met.join(spans, (F.col("__row") == F.col("__key")) & F.col(own_id).eqNullSafe(F.col("__id")) & F.col(own_source).eqNullSafe(F.col("__source")))
-    alike = Window.partitionBy("__row", "__id", "__source", "__first").orderBy("__size")  # rows alike meet each other's words
-    met = met.withColumn("__turn", F.row_number().over(alike)).where("__turn = 1").select(*plain(docs).columns, "__spans", "__size")
+    spans = taken_spans(placed, times, block).groupBy("k1", "k2", "first", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("__spans"))
+    own = plain(docs)
+    own_id, own_source, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (id, source, text))
+    whole = F.xxhash64(*[c for c in own.columns if "map<" not in own.schema[c].dataType.simpleString()])  # orders rows that differ in other columns only
+    rows = own.select("*", *identity(own_id, own_source, own_text), F.lit(1).alias("__kind"), whole.alias("__order"))
+    places = spans.select("k1", "k2", F.lit(0).alias("__kind"), F.col("first").alias("__order"), F.col("size").alias("__size"), "__spans")
+    # The n-th place and the n-th row of an identity meet side by side, so texts are shuffled once and none is repeated.
+    both = rows.unionByName(places, allowMissingColumns=True).repartition("k1", "k2")
+    both = both.withColumn("__turn", F.row_number().over(Window.partitionBy("k1", "k2", "__kind").orderBy("__order")))
+    pair = Window.partitionBy("k1", "k2", "__turn").orderBy("__kind")
+    both = both.withColumn("__lost", (F.col("__kind") == 0) & F.lead("__kind").over(pair).isNull())
+    both = both.withColumn("__size", F.when(F.col("__kind") == 1, F.lag("__size").over(pair)).otherwise(F.col("__size")))
+    both = both.withColumn("__spans", F.when(F.col("__kind") == 1, F.lag("__spans").over(pair)).otherwise(F.col("__spans")))
+    met = both.where("__lost OR (__kind = 1 AND __size IS NOT NULL)").select(*own.columns, "__spans", "__size", "__lost")
     place = docs.columns.index(text)
     names = docs.columns
     schema = docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if pc.any(batch.column("__lost")).as_py():
+                raise ValueError("a place of the mix has no row")
             own = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
             spans_, counted = batch.column("__spans").to_pylist(), batch.column("__size").to_pylist()
             rows, texts = [], []
@@ -212,7 +227,7 @@ def mixed_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
                 data, at = text_buffer(pa.array([whole], pa.string()))
                 start, end, _ = words(data, at)
                 if len(start) != n:
-                    continue
+                    raise ValueError(f"a row of {len(start)} words met a place of {n}")
                 raw = data.tobytes()
                 for turn in range(max(x["times"] for x in found)):
                     part: list[list[int]] = []

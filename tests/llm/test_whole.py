@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cleargrain.llm import recurrent_lm
+from cleargrain.llm import mixing, recurrent_lm
 
 
 def test_every_training_text_gives_gradients(spark):
@@ -17,3 +17,14 @@ def test_8192_words_have_an_output_of_their_own():
     lex = recurrent_lm.Lexicon(words, np.arange(9000, 0, -1), 10, 9010, 9000, np.full(recurrent_lm.BINS, 0.1)).ready()
     net = recurrent_lm.fresh(lex)
     assert lex.known == 8192 and lex.symbol[:8192].tolist() == list(range(8192)) and net.classes == 128
+
+
+def test_rows_that_share_an_id_keep_their_words(spark):
+    text = lambda mark, n: " ".join(f"{mark}_{i}" for i in range(n))
+    rows = [(None, text(f"n{k}", n), "a", k) for k, n in enumerate((50, 50, 7, 120, 300))] + [(1, text(f"d{k}", n), "b", k) for k, n in enumerate((90, 90, 31))]
+    rows += [(2, text("same", 40), "b", k) for k in range(3)] + [(None, text("nowhere", 60), None, 0), (3, None, "b", 0), (None, "", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    how = {"weights": (1.0, 1.0, 1.0), "share": 2.0, "block": 16}  # every block is taken twice
+    out = mixing.mixed_rows(docs, **how).collect()
+    whole = sorted(((x[0], x[1], x[2], x[3]) for x in rows if x[1]), key=repr)
+    assert sorted(map(tuple, out), key=repr) == sorted(whole * 2, key=repr)
