@@ -2,8 +2,9 @@
 
 A table key is a pair of half keys, one of each of two collections. With m half keys of r minhashes in either collection
 there are m * m tables, but only 2 * m * r minhashes to compute: the square root of what as many independent bands need.
-Texts of similarity s meet in some table with probability (1 - (1 - s**r)**m)**2; for s = 0.85, r = 2, m = 7 that is
-0.9997, and only the weakest single link of a group is subject to it.
+Texts of similarity s meet in some table with probability (1 - (1 - s**r)**m)**2; m is the least number for which that is
+RECALL at the threshold: for r = 2, 7 at 0.85 (0.9997) and 9 at 0.8 (0.9998). Only the weakest single link of a group is
+subject to it.
 
 Candidates are compared on whole shingle sets. Within a bucket every member is compared with the bucket's leader, the
 member that meets most others. Then only pairs of members of different components remain. Two bounds that never strike
@@ -31,7 +32,7 @@ from cleargrain.llm.bytescan import LOWER, U64, mix, pieces, prefix_hashes, span
 from cleargrain.llm.components import connected
 from cleargrain.llm.shared import plain, read_table, settled, taken
 
-HALVES = 7
+RECALL = 0.9997
 ROWS = 2
 PIECE_BYTES = 1 << 20
 #: 64-bit words of the parity sketch.
@@ -40,6 +41,16 @@ SKETCH = 32
 FOLDED = 4
 
 
+def halves_for(percent: int, rows: int = ROWS) -> int:
+    """The least number of half keys with which a link right at the threshold shares a table with probability RECALL."""
+    if not percent:
+        raise ValueError("texts of similarity 0 share no minhash")
+    m = 1
+    while (1 - (1 - (percent / 100) ** rows) ** m) ** 2 < RECALL:
+        m += 1
+    return m
+
+
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's distinct shingles, sorted within the row, and the number of them before each row."""
     data, at = text_buffer(column)
@@ -103,7 +114,7 @@ def parities(found: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, id: str, text: str, size: int, halves: int, rows: int = ROWS) -> DataFrame:
     """id, n (size of the shingle set), s1 and s2 (128 bits that stand for the set), halves (the half keys), parity (the sketch)."""
     part = taken(docs, id=id, text=text)
 
@@ -149,8 +160,9 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
+def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, halves: int | None = None, rows: int = ROWS) -> DataFrame:
     """Per row of docs: id, n_shingles, component (smallest id that links of at least `percent` reach, itself included)."""
+    halves = halves or halves_for(percent, rows)
     docs = taken(docs, id=id, text=text)
     signed = settled(signatures(docs, "id", "text", size, halves, rows), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("halves").alias("halves"), F.first("parity").alias("parity"))

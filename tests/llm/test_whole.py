@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cleargrain.llm import mixing, recurrent_lm
+from cleargrain.llm import minhash_tensor, mixing, recurrent_lm
 
 
 def test_every_training_text_gives_gradients(spark):
@@ -28,3 +28,15 @@ def test_rows_that_share_an_id_keep_their_words(spark):
     out = mixing.mixed_rows(docs, **how).collect()
     whole = sorted(((x[0], x[1], x[2], x[3]) for x in rows if x[1]), key=repr)
     assert sorted(map(tuple, out), key=repr) == sorted(whole * 2, key=repr)
+
+
+def test_tables_follow_the_threshold():
+    assert minhash_tensor.halves_for(85) == 7 and minhash_tensor.halves_for(80) == 9
+    assert all((1 - (1 - (p / 100) ** 2) ** minhash_tensor.halves_for(p)) ** 2 >= 0.9997 for p in range(50, 101))
+
+
+def test_near_copies_at_the_pipelines_threshold(spark):
+    base = [f"w{i}" for i in range(204)]  # 200 five-word shingles; 18 of the copy's are others: 182 of 218 shared
+    copy = base[:-18] + [f"x{i}" for i in range(18)]
+    docs = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(copy)), (2, "some other text of its own")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash_tensor.one_of_each(docs).collect()) == [0, 2]
