@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from functools import cache
@@ -79,7 +80,9 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Each word is
-    encoded once and remembered; when `remembered` words are, those not met since then are forgotten.
+    encoded once and remembered; when `remembered` words are, those not met since then are forgotten. The tokenizer finds the
+    strings of its special tokens in a text before all else, in exactly their letters; so a text is cut at them, and words,
+    which are small-lettered by then, are encoded as ordinary text.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -89,7 +92,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # of a word; `encode` has cut the text at special strings
+        self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.found = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         self.ids: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.remembered = remembered
@@ -116,11 +121,36 @@ class WordEncoder:
         was = gc.isenabled()
         gc.disable()  # millions of words are made and none is in a cycle
         try:
-            return self._encoded(*parted(data, at))
+            own = self._specials(data, at)
+            return self._cut(data, at, own) if own else self._encoded(*parted(data, at))
         finally:
             if was:
                 gc.enable()
 
+    def _specials(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """(from, to, id) of special tokens' strings within rows."""
+        raw = data.tobytes()
+        met = np.array([m.span() for m in self.found.finditer(raw)], np.int64).reshape(-1, 2)
+        rows = np.unique(np.searchsorted(at, np.concatenate([met[:, 0], met[:, 1] - 1]), "right") - 1)
+        return [(int(at[i]) + m.start(), int(at[i]) + m.end(), self.special[m.group()]) for i in rows for m in self.found.finditer(raw[at[i] : at[i + 1]])]
+
+    def _cut(self, data: np.ndarray, at: np.ndarray, own: list[tuple[int, int, bytes]]) -> list[bytes]:
+        """Ids of texts with special tokens: what lies between is encoded on its own."""
+        keep = np.ones(len(data), bool)
+        for a, b, _ in own:
+            keep[a:b] = False
+        running = np.concatenate([[0], np.cumsum(keep)])
+        edges, between, k = [0], [], 0
+        for end in at[1:].tolist():
+            between.append([])
+            while k < len(own) and own[k][0] < end:
+                edges.append(int(running[own[k][0]]))
+                between[-1].append(own[k][2])
+                k += 1
+            edges.append(int(running[end]))
+        parts = iter(self._encoded(*parted(data[keep], np.array(edges, np.int64))))
+        return [next(parts) + b"".join(x + next(parts) for x in ids) for ids in between]
+
     def _encoded(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         raw = data.tobytes()
         texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

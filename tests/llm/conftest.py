@@ -18,7 +18,7 @@ def edges(spark):
     text = prose(2, 120)
     rows = [
         (0, None, "en", None), (1, "", "en", "a"), (2, " \n\t ", None, "b"), (3, "word", "fr", "a"), (4, long, "en", "a"), (5, text, "en", "b"), (5, text, "en", "b"), (6, text, "fr", "a"),
-        (7, text.upper(), "fr", None), (8, text + " tail", "en", "b"), (9, prose(3, 200), "fr", "c"), (None, prose(4, 60), None, None), (10, "é ¿? 日本 \x00 x", "fr", "c"),
+        (7, text.upper(), "fr", None), (8, text + " tail", "en", "b"), (9, prose(3, 200), "fr", "c"), (None, prose(4, 60), None, None), (10, "é ¿? 日本 \x00 x", "fr", "c"), (11, "a <|endoftext|> b<|ENDOFTEXT|>c", "en", "c"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     return df.selectExpr("*", "length(text) AS n_chars", *[f"'{c}' AS `{c}`" for c in CLASHES])

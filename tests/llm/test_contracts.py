@@ -97,7 +97,6 @@ def test_op6(spark, folder, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
     rows = got(spark, folder, "op6_harmonic_packing")
     want = Counter()

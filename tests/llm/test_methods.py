@@ -185,9 +185,10 @@ def test_words_encode_alone_as_in_the_text():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     r = random.Random(4)
-    texts = ["".join(r.choice("abZ09.,'!s tdre\n()<|>-éÉ×÷ßŉ̸̀\u00a0\u2003\x85\x1cΑΣσ가😀²…") for _ in range(r.randint(0, 16))) for _ in range(3000)]
+    marks = [*"abZ09.,'!s tdre\n()<|>-éÉ×÷ßŉ̸̀\u00a0\u2003\x85\x1cΑΣσ가😀²…"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "|>"]
+    texts = ["".join(r.choice(marks if k % 3 else marks[:12] + special) for _ in range(r.randint(0, 16))) for k in range(6000)]
     encoder = harmonic_packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remembered=500)
     for i in range(0, len(texts), 10):
         from cleargrain.llm.bytescan import text_buffer
