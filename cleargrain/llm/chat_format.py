@@ -1,8 +1,9 @@
 """Conversations rendered by a compiled template, with a loss mask, and read back.
 
-Rows of a conversation are ordered by turn, then by role and text where turns tie. They are streamed: a task holds one
-turn at a time, so no conversation is too long. A rendered turn is one row of parts; parts of a conversation put
-together are its formatted text, and the marked spans its loss mask.
+Rows of a conversation are ordered by turn, then by role and text where turns tie. A template renders a whole conversation;
+its turns are streamed through the template's loop, two in memory at a time, and the text comes out in parts, so no
+conversation is too long. Parts of a conversation put together are its formatted text, and the marked spans its loss mask.
+A conversation is rendered by one task, as its text is one sequence.
 
 The control strings of the template begin with `<` or `[`. In texts and roles these two, and the escape character
 itself, are written as the escape character and a letter, so that no text can hold a control string and every text comes
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.chat_template import compile_template
+from cleargrain.llm.chat_template import TemplateError, compile_template
 from cleargrain.llm.shared import read_table, taken
 
 TEMPLATE = (
@@ -49,18 +52,50 @@ def unescape(text: str) -> str:
     return first + "".join(_FROM[x[0]] + x[1:] for x in rest)
 
 
-PARTS = "turn_no long, text string, marked_from int, marked_to int"
+PARTS = "part_no long, text string, marked array<int>"
+#: Rows and characters of an Arrow batch; characters after which a conversation goes on in another row.
 OUT_ROWS, OUT_CHARS = 5000, 4 << 20
-
-
-def _text(value: str | None) -> str:
-    return value or ""
-
-
-def rendered(rows: DataFrame, template: str = TEMPLATE, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conversation, turn_no, text (the turn's part of the formatted text), marked_from and marked_to (code points under the loss mask; null: none).
-
-    A conversation's parts come in order within one partition.
+PART_CHARS = 1 << 18
+
+
+class Turns:
+    """A conversation's turns as they come; a template goes through them once, from the first to the last."""
+
+    def __init__(self, turns: Iterator[dict]):
+        self._turns: Iterator[dict] | None = turns
+
+    def __iter__(self) -> Iterator[dict]:
+        turns, self._turns = self._turns, None
+        if turns is None:
+            raise TemplateError("the turns of a conversation are read once")
+        return turns
+
+
+def joined_parts(pieces: Iterator[tuple[str, bool]], most: int = PART_CHARS) -> Iterator[tuple[str, list[int]]]:
+    """(text, flat [from, to) pairs of code points under the loss mask) of a rendered conversation, `most` characters and a piece at most."""
+    texts: list[str] = []
+    marked: list[int] = []
+    size, none = 0, True
+    for text, mark in pieces:
+        if mark and text:
+            if marked and marked[-1] == size:
+                marked[-1] = size + len(text)
+            else:
+                marked += (size, size + len(text))
+        texts.append(text)
+        size += len(text)
+        if size >= most:
+            yield "".join(texts), marked
+            texts, marked, size, none = [], [], 0, False
+    if size or none:
+        yield "".join(texts), marked
+
+
+def rendered(rows: DataFrame, template: str = TEMPLATE, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """conversation, part_no, text and marked (flat [from, to) pairs of its code points under the loss mask).
+
+    The template sees the whole conversation as `messages`. A conversation is one row, or several where it is long; its parts
+    come in order within one partition.
     """
     part = taken(rows, conv=conversation, turn=turn, role=role, text=text)
     part = part.repartition(F.col("conv")).sortWithinPartitions("conv", "turn", "role", "text")
@@ -68,36 +103,32 @@ def rendered(rows: DataFrame, template: str = TEMPLATE, conversation: str = "con
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, {"escape": escape})
+        types: list[pa.DataType] = []
+
+        def turns() -> Iterator[tuple[object, dict]]:
+            for batch in batches:
+                types[:] = [batch.schema.field(0).type]
+                for conv, role_, text_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    yield conv, {"role": role_ or "", "text": text_ or ""}
+
         out: list[tuple] = []
-        chars, held, number, id_type = 0, None, 0, None
-        first = True
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for conv, role_, text_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                number = 0 if first or conv != held else number + 1
-                first, held = False, conv
-                parts = list(render({"messages": [{"role": _text(role_), "text": _text(text_)}]}))
-                whole, spans, at = "", [], 0
-                for piece, marked in parts:
-                    if marked:
-                        spans.append((at, at + len(piece)))
-                    at += len(piece)
-                whole = "".join(p for p, _ in parts)
-                lo, hi = (spans[0][0], spans[-1][1]) if spans else (None, None)
-                out.append((conv, number, whole, lo, hi))
+        chars = 0
+        for conv, own in groupby(turns(), key=itemgetter(0)):
+            for number, (whole, marked) in enumerate(joined_parts(render({"messages": Turns(map(itemgetter(1), own))}), part_chars)):
+                out.append((conv, number, whole, marked))
                 chars += len(whole)
                 if len(out) >= OUT_ROWS or chars >= OUT_CHARS:
-                    yield _batch(out, id_type)
+                    yield _batch(out, types[0])
                     out, chars = [], 0
         if out:
-            yield _batch(out, id_type)
+            yield _batch(out, types[0])
 
     return part.mapInArrow(work, f"conv {kind}, {PARTS}").withColumnRenamed("conv", conversation)
 
 
 def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    types = [id_type, pa.int64(), pa.string(), pa.int32(), pa.int32()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["conv", "turn_no", "text", "marked_from", "marked_to"])
+    types = [id_type, pa.int64(), pa.string(), pa.list_(pa.int32())]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["conv", "part_no", "text", "marked"])
 
 
 class Reader:
@@ -106,8 +137,24 @@ class Reader:
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
+        self.rest, self.marks = "", []
+
+    def part(self, text: str, marked: list[int]) -> None:
+        had = len(self.rest)
+        whole = self.rest + text
+        marks = self.marks + [(a + had, b + had) for a, b in zip(marked[::2], marked[1::2], strict=True)]
+        start, used = 0, 0
+        while (end := whole.find("</s>", max(start, had - 3))) >= 0:
+            end += 4
+            first = used
+            while used < len(marks) and marks[used][1] <= end:
+                used += 1
+            self._turn(whole[start:end], [whole[a:b] for a, b in marks[first:used]])
+            start = end
+        self.rest, self.marks = whole[start:], [(a - start, b - start) for a, b in marks[used:]]
+        self.chars += len(text)
 
-    def part(self, text: str, lo: int | None, hi: int | None) -> None:
+    def _turn(self, text: str, loss: list[str]) -> None:
         if not text.startswith("<s>[") or not text.endswith("]</s>"):
             raise ValueError("a part isn't a turn")
         edge = text.index("]", 4)
@@ -117,42 +164,43 @@ class Reader:
             raise ValueError("a turn doesn't end as it began")
         body = unescape(text[edge + 2 : len(text) - len(closing)])
         self.turns.update(f"{role}\n{body}\n".encode())
-        if lo is not None:
-            marked = unescape(text[lo:hi])
-            self.loss.update(marked.encode())
-            self.loss_chars += len(marked)
+        marked = unescape("".join(loss))
+        self.loss.update(marked.encode())
+        self.loss_chars += len(marked)
         self.n_turns += 1
-        self.chars += len(text)
+
+    def figures(self) -> tuple[int, str, int, str, int]:
+        if self.rest or self.marks:
+            raise ValueError("a conversation ends within a turn")
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def read_back(parts: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """Digests of each conversation, from the parts in their order."""
-    part = parts.select(F.col(conversation).alias("conv"), "turn_no", "text", "marked_from", "marked_to")
+    part = parts.select(F.col(conversation).alias("conv"), "part_no", "text", "marked")
     kind = part.schema["conv"].dataType.simpleString()
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, out, id_type = None, None, [], None
 
-        def close() -> None:
-            if reader is not None:
-                out.append((held, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars))
-
         def batch_of() -> pa.RecordBatch:
             types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for conv, number, text, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, number, text, marked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if number == 0:
-                    close()
+                    if reader is not None:
+                        out.append((held, *reader.figures()))
                     reader, held = Reader(), conv
                     if len(out) >= OUT_ROWS:
                         yield batch_of()
                         out.clear()
-                reader.part(text, lo, hi)
-        close()
+                reader.part(text, marked)
+        if reader is not None:
+            out.append((held, *reader.figures()))
         if out:
             yield batch_of()
 

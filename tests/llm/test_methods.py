@@ -41,6 +41,27 @@ def test_escapes_come_back(text):
     assert chat_format.unescape(coded) == text and not set(coded) & set("<[]")
 
 
+def test_a_template_renders_whole_conversations(spark):
+    template = "{{ 'BOS ' }}{% for m in messages %}{% if loop.first %}^{% endif %}[{{ m.text | escape }}]{% if loop.last %} END{% endif %}{% endfor %}"
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "<b"), (1, 2, "user", None), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = chat_format.rendered(rows, template).collect()
+    assert {r["conv_id"]: r["text"] for r in got} == {1: "BOS ^[a][\x1blb][] END", 2: "BOS ^[x] END"}
+    with pytest.raises(Exception, match="read once"):
+        chat_format.rendered(rows, template + template).collect()
+
+
+def test_long_conversations_come_in_parts(spark):
+    r = random.Random(3)
+    turns = [(k % 3, k, ("user", "assistant")[k // 3 % 2], "".join(r.choice("ab<[]\x1b/s>é ") for _ in range(r.randint(0, 60)))) for k in range(300)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole = {x["conv_id"]: x for x in chat_format.read_back(chat_format.rendered(rows)).collect()}
+    parts = chat_format.rendered(rows, part_chars=7)
+    assert parts.count() > 300
+    assert {x["conv_id"]: x for x in chat_format.read_back(parts).collect()} == whole
+    joined = {c: "".join(x["text"] for x in sorted(g, key=lambda x: x["part_no"])) for c in range(3) if (g := [x for x in parts.collect() if x["conv_id"] == c])}
+    assert joined == {x["conv_id"]: x["text"] for x in chat_format.rendered(rows).collect()}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=3).flatmap(lambda seed: st.integers(0, 3).map(lambda n: (seed * 576)[: 576 * n])), min_size=1, max_size=4))
 def test_flac_round_trip(payloads):
