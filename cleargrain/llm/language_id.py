@@ -4,15 +4,20 @@ For each language a suffix automaton holds every substring of a sample of its la
 into phrases, each the longest that occurs in the sample (a byte that doesn't occur is a phrase). With c phrases over n
 bytes and a sample of N bytes, c * log2(N) / n estimates the cross entropy; the language with the least wins.
 
-Texts are cut into blocks of 512 bytes that are parsed on their own, so that thousands of blocks move through the
-automata in step; phrases end at block ends, for every language alike. The whole text counts.
+Texts are walked in blocks of BLOCK bytes, thousands in step. A block is first walked as if a phrase began with it, and then
+again from the state that the block before it ended in, until both walks are in one state, from where they are the same.
+Blocks whose walk before them changed are walked once more, until none does. So phrases cross blocks, and every phrase is a
+longest match of the whole text.
 
-The model is fit on a bounded sample: SAMPLE_BYTES bytes of each language, drawn over its learning rows by a hash of
-the id, with PART_BYTES bytes of one row at most. Its tables take languages * 2 * SAMPLE_BYTES * (symbols + 1) * 4 bytes.
+The model is fit on a bounded sample: SAMPLE_BYTES bytes of each language, drawn over its different learning texts by a hash
+of the text, with PART_BYTES bytes of one text at most, from a place that the hash picks. Automata are kept in one array of
+slots each, so a language takes 12 bytes for each transition, of which there are at most three for a byte of the sample:
+about 0.6 MB. That is what is broadcast: languages * 0.6 MB.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing could be learned. Ties go to
-the language first by code point. Repeated rows are judged alike. An empty table gives an empty result. Columns other
-than the id and text, and for learning the language, are not read.
+the language first by code point. Texts that repeat under one language, or rows that share an id or have none, are one text
+of the sample. Repeated rows are judged alike. An empty table gives an empty result. Columns other than the id and text, and
+for learning the language, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleargrain.llm.bytescan import LOWER, pieces, row_sums, text_buffer
@@ -30,7 +35,7 @@ from cleargrain.llm.shared import read_table, taken, training_remainder
 
 SAMPLE_BYTES = 1 << 14
 PART_BYTES = 1 << 10
-BLOCK = 512
+BLOCK = 256
 PIECE_BYTES = 1 << 21
 
 _LETTER = np.zeros(256, bool)
@@ -46,14 +51,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """(states + 1, symbols + 1) transitions, -1 where there is none; state 0 is the start.
-
-    The last symbol never occurs, and the last state, of which nothing follows, stands for no state.
-    """
+def suffix_automaton(text: bytes) -> list[dict[int, int]]:
+    """Transitions of each state by byte; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    for c in text.tolist():
+    for c in text:
         new = len(moves)
         moves.append({})
         length.append(length[last] + 1)
@@ -76,79 +78,174 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(moves) + 1, symbols + 1), -1, np.int32)
+    return moves
+
+
+@dataclass
+class Automaton:
+    """Transitions in one array: state s goes on with byte c to `to[s + c]` if `owner[s + c]` is s.
+
+    `first` is the state after a byte that begins a phrase, `none` a state that nothing follows.
+    """
+
+    owner: np.ndarray
+    to: np.ndarray
+    first: np.ndarray
+    none: int
+
+
+def laid_out(moves: list[dict[int, int]]) -> Automaton:
+    """An automaton whose states are named by where their transitions lie; those with many are placed first."""
+    size = len(moves) + sum(map(len, moves)) + 1024
+    used = np.zeros(2 * size, bool)  # slots
+    place = np.full(len(moves), -1, np.int64)
+    named = np.zeros(2 * size, bool)  # places that are a state's name
+    low = 0
+    for state in sorted(range(len(moves)), key=lambda k: -len(moves[k])):
+        own = sorted(moves[state])
+        if len(own) > 1:
+            at, offsets = low, np.array(own, np.int64)
+            while True:
+                tries = np.arange(at, min(at + 4096, size))
+                fits = np.flatnonzero(~named[tries] & ~used[tries[:, None] + offsets].any(1))
+                if len(fits):
+                    at = int(tries[fits[0]])
+                    break
+                at += 4096
+                if at >= size:
+                    size, used, named = 2 * size, np.append(used, np.zeros(2 * size, bool)), np.append(named, np.zeros(2 * size, bool))
+            place[state], named[at] = at, True
+            used[at + offsets] = True
+        else:
+            break
+    # What is left has one transition or none: any free slot that makes a free name does.
+    rest = [k for k in range(len(moves)) if place[k] < 0]
+    free = iter(np.flatnonzero(~used[256:]).tolist())
+    slots: list[int] = []
+    for state in rest:
+        c = next(iter(moves[state]), None)
+        if c is None:
+            continue
+        for k, slot in enumerate(slots):
+            if not named[slot - c]:
+                del slots[k]
+                break
+        else:
+            while named[(slot := next(free) + 256) - c]:
+                slots.append(slot)
+        place[state], named[slot - c], used[slot] = slot - c, True, True
+    spare = iter(np.flatnonzero(~named).tolist())
+    for state in rest:
+        if place[state] < 0:
+            place[state] = next(spare)
+            named[place[state]] = True
+    none = next(spare)
+    top = int(max(place.max(), none)) + 256
+    owner, to = np.full(top, -1, np.int32), np.zeros(top, np.int32)
     for state, own in enumerate(moves):
-        for c, to in own.items():
-            table[state, c] = to
-    return table
+        for c, target in own.items():
+            owner[place[state] + c], to[place[state] + c] = place[state], place[target]
+    first = np.full(256, none, np.int32)
+    for c, target in moves[0].items():
+        first[c] = place[target]
+    return Automaton(owner, to, first, none)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     bits: np.ndarray
 
 
 def fit(texts: dict[str, bytes]) -> Model:
     """A model of languages' sample texts (lower-cased bytes)."""
     languages = sorted(k for k, v in texts.items() if v)
-    seen = sorted(set().union(*(texts[k] for k in languages))) if languages else []
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    tables = [suffix_automaton(symbol[np.frombuffer(texts[k], np.uint8)], len(seen)) for k in languages]
-    return Model(languages, symbol, tables, np.array([np.log2(max(2, len(texts[k]))) for k in languages]))
+    return Model(languages, [laid_out(suffix_automaton(texts[k])) for k in languages], np.array([np.log2(max(2, len(texts[k]))) for k in languages]))
 
 
-def phrases(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _walk(automaton: Automaton, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after a byte each, and whether it began a phrase."""
+    slot = state + c
+    begun = automaton.owner[slot] != state
+    return np.where(begun, automaton.first[c], automaton.to[slot]), begun
+
+
+def phrases(model: Model, data: np.ndarray, at: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """(languages, rows) phrases of each row's bytes."""
     rows = len(at) - 1
-    per_row = -(-np.diff(at) // BLOCK)
+    out = np.zeros((len(model.languages), rows), np.int64)
+    per_row = -(-np.diff(at) // block)
     before = np.concatenate([[0], np.cumsum(per_row)])
     row = np.repeat(np.arange(rows), per_row)
-    start = at[:-1][row] + (np.arange(len(row)) - before[:-1][row]) * BLOCK
-    size = np.minimum(BLOCK, at[1:][row] - start)
-    order = np.argsort(-size, kind="stable")
-    start, size, row = start[order], size[order], row[order]
-    symbols = np.append(model.symbol[data], 0)
-    out = np.zeros((len(model.languages), rows), np.int64)
     if not len(row):
         return out
-    live = np.searchsorted(-size, -np.arange(1, BLOCK + 1), "right")
-    columns = [symbols[start[:n] + j] for j, n in enumerate(live.tolist()) if n]
-    for k, table in enumerate(model.tables):
-        flat, stride = table.ravel(), table.shape[1]
-        none = (len(table) - 1) * stride  # no phrase is open
-        first = np.where(table[0] < 0, none, table[0].astype(np.int64) * stride)
-        state = np.full(len(row), none)
+    turn = np.arange(len(row)) - before[:-1][row]
+    start = at[:-1][row] + turn * block
+    size = np.minimum(block, at[1:][row] - start)
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    following = np.where(turn + 1 < per_row[row], np.append(rank[1:], 0), -1)[order]  # the block after each, or -1
+    start, size, row = start[order], size[order], row[order]
+    live = np.searchsorted(-size, -np.arange(1, block + 1), "right")
+    columns = [data[start[:n] + j] for j, n in enumerate(live.tolist()) if n]
+    for k, automaton in enumerate(model.automata):
+        state = np.full(len(row), automaton.none, np.int32)
         count = np.zeros(len(row), np.int64)
+        walked, began = [], []
         for c in columns:
-            n = len(c)
-            to = flat[state[:n] + c].astype(np.int64) * stride
-            ended = to < 0
-            count[:n] += ended
-            state[:n] = np.where(ended, first[c], to)
+            state[: len(c)], begun = _walk(automaton, state[: len(c)], c)
+            count[: len(c)] += begun
+            walked.append(state[: len(c)].copy())
+            began.append(begun)
+        ended = state  # the state after each block
+        told = np.full(len(row), automaton.none, np.int32)  # the state that each block was last walked from
+        while True:
+            given = told.copy()
+            given[following[following >= 0]] = ended[following >= 0]
+            own = np.flatnonzero(given != told)
+            if not len(own):
+                break
+            told = given
+            state = told[own]
+            for j in range(len(columns)):
+                inside = own < len(columns[j])
+                if not inside.all():
+                    own, state = own[inside], state[inside]  # whole blocks that never met their first walk end as they are
+                if not len(own):
+                    break
+                state, begun = _walk(automaton, state, columns[j][own])
+                count[own] += begun.astype(np.int64) - began[j][own]
+                apart = state != walked[j][own]
+                walked[j][own], began[j][own] = state, begun
+                ended[own[apart & (size[own] == j + 1)]] = state[apart & (size[own] == j + 1)]
+                own, state = own[apart], state[apart]
         out[k] = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
     return out
 
 
 def sample(docs: DataFrame, id: str, text: str, lang: str, sample_bytes: int = SAMPLE_BYTES, part_bytes: int = PART_BYTES) -> dict[str, bytes]:
-    """Each language's sample: parts of rows in the order of a hash of their ids, about twice as many rows as are needed."""
-    rows = taken(docs, id=id, lang=lang, text=text).where("lang IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counts:
+    """Each language's sample: parts of its different texts in the order of a hash of the text, until sample_bytes are full.
+
+    How many texts a language has is estimated without a shuffle; by that, rows are drawn for about four times the bytes that
+    are needed, and of those so many by the hash that they have them. What reaches the driver is bounded by the languages.
+    """
+    rows = taken(docs, id=id, lang=lang, text=text).where("lang IS NOT NULL AND octet_length(text) > 0")
+    part = rows.select("lang", F.xxhash64(F.lit(8), "text").alias("hash"), F.least(F.octet_length("text"), F.lit(part_bytes)).alias("bytes"), "text")
+    stats = part.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"), F.avg("bytes").alias("bytes")).collect()  # a row for each language
+    if not stats:
         return {}
-    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    wanted = 4 * -(-sample_bytes // part_bytes)
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, wanted / n)) for k, n in counts.items()], "lang string, share double")
-    picked = rows.withColumn("unit", unit).join(F.broadcast(share), "lang").where("unit < share").select("lang", "unit", "id", F.substring("text", 1, part_bytes).alias("part"))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * (sample_bytes + part_bytes) / (r["texts"] * r["bytes"]))) for r in stats], "lang string, share double")
+    drawn = part.withColumn("unit", F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)).join(F.broadcast(share), "lang").where("unit < share")
+    place = 1 + F.pmod(F.shiftrightunsigned("hash", 20), F.greatest(F.lit(1), F.length("text") - part_bytes + 1))
+    drawn = drawn.select("lang", "hash", F.substring(F.col("text"), place.cast("int"), F.lit(part_bytes)).alias("part")).dropDuplicates(["lang", "hash"])
+    ahead = Window.partitionBy("lang").orderBy("hash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    picked = drawn.withColumn("ahead", F.coalesce(F.sum(F.least(F.octet_length("part"), F.lit(part_bytes))).over(ahead), F.lit(0))).where(F.col("ahead") < sample_bytes)
     out: dict[str, bytes] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["unit"], str(r["id"]), r["part"])):
-        had = out.get(r["lang"], b"")
-        if len(had) < sample_bytes:
-            data = np.frombuffer(r["part"].encode()[:part_bytes] + b"\n", np.uint8)
-            out[r["lang"]] = (had + lowered(data).tobytes())[:sample_bytes]
+    for r in sorted(picked.select("lang", "hash", "part").collect(), key=lambda r: (r["lang"], r["hash"])):
+        data = np.frombuffer(r["part"].encode()[:part_bytes] + b"\n", np.uint8)
+        out[r["lang"]] = (out.get(r["lang"], b"") + lowered(data).tobytes())[:sample_bytes]
     return out
 
 

@@ -259,16 +259,15 @@ def test_rules_short_circuit_and_never_change_a_verdict(spark):
 
 def test_automata_hold_all_substrings():
     text = b"abcbcabxyabc"
-    model = language_id.fit({"t": text})
-    table = model.tables[0]
+    automaton = language_id.fit({"t": text}).automata[0]
 
     def holds(s):
-        state = 0
-        for c in s:
-            state = table[state, model.symbol[c]]
-            if state < 0:
+        state = automaton.first[s[0]]
+        for c in s[1:]:
+            if state == automaton.none or automaton.owner[state + c] != state:
                 return False
-        return True
+            state = automaton.to[state + c]
+        return state != automaton.none
 
     r = random.Random(0)
     for _ in range(500):
@@ -276,17 +275,56 @@ def test_automata_hold_all_substrings():
         assert holds(s) == (s in text)
 
 
+def parsed(text, s):
+    """Phrases of s, each the longest that occurs in text."""
+    n, i = 0, 0
+    while i < len(s):
+        k = 1
+        while i + k < len(s) and s[i : i + k + 1] in text:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
 def test_phrases_are_longest_matches():
     text = b"the cat sat on the mat"
     model = language_id.fit({"t": text})
     for s in (b"the mat sat", b"zzz", b"on the cat qq the", b"t"):
-        n, i = 0, 0
-        while i < len(s):
-            k = 1
-            while i + k < len(s) and s[i : i + k + 1] in text:
-                k += 1
-            n, i = n + 1, i + k
-        assert language_id.phrases(model, np.frombuffer(s, np.uint8), np.array([0, len(s)]))[0, 0] == n
+        assert language_id.phrases(model, np.frombuffer(s, np.uint8), np.array([0, len(s)]))[0, 0] == parsed(text, s)
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 512])
+def test_phrases_cross_blocks(block):
+    r = random.Random(block)
+    samples = {"a": bytes(r.choice(b"abc ") for _ in range(700)), "b": bytes(range(256)) * 2 + b"abcabc" * 30}
+    model = language_id.fit(samples)
+    texts = [samples[r.choice("ab")][a : a + r.randint(0, 300)] + bytes(r.choice(b"abcd ") for _ in range(r.randint(0, 90))) + samples["a"][:a] for a in range(0, 600, 40)] + [b""]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = language_id.phrases(model, np.frombuffer(b"".join(texts), np.uint8), at, block)
+    assert got.tolist() == [[parsed(samples[k], t) for t in texts] for k in "ab"]
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "own"])
+def test_languages_by_brute_force_whatever_the_ids(spark, ids):
+    r = random.Random(6)
+    lexicon = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 6))) for _ in range(60)] for k, v in {"xx": "abcdeé", "yy": "acegi", "zz": "日本語a"}.items()}
+    write = lambda k, n: " ".join(r.choice(lexicon[k]) for _ in range(n))
+    rows = [({"none": None, "one": 7, "own": i}[ids], write(k, r.randint(1, 700)), k) for i, k in enumerate(["xx", "yy", "zz"] * 60)]
+    rows += [rows[0]] * 300  # one text that most rows hold
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, "doc_id", "text", "lang")
+    assert {k: len(v) for k, v in got.items()} == dict.fromkeys(lexicon, language_id.SAMPLE_BYTES)
+    small = language_id.sample(docs, "doc_id", "text", "lang", 2000, 100)
+    assert {k: len(v) for k, v in small.items()} == dict.fromkeys(lexicon, 2000)
+    model = language_id.fit(small)
+    tests = [write(k, r.randint(1, 400)) for k in lexicon for _ in range(8)] + ["", "12 3", None, "É"]
+    out = language_id.identified(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()
+    for x in out:
+        raw = language_id.lowered(np.frombuffer((tests[x["doc_id"]] or "").encode(), np.uint8)).tobytes()
+        entropy = {k: parsed(small[k], raw) * b / max(1, len(raw)) for k, b in zip(model.languages, model.bits, strict=True)}
+        best, second = sorted(entropy.values())[:2]
+        want = min(entropy, key=lambda k: (entropy[k], k)) if any(map(str.isalpha, tests[x["doc_id"]] or "")) else "und"
+        assert x["lang_pred"] == want and x["score"] == pytest.approx(1 - best / second if want != "und" else 0)
 
 
 def test_languages_are_told_apart_on_held_out_documents(spark):
