@@ -257,6 +257,36 @@ def test_rules_short_circuit_and_never_change_a_verdict(spark):
     assert {r.name for r in quality_rules.ordered(docs)} == {r.name for r in quality_rules.RULES}
 
 
+def test_rules_are_ordered_by_rejections_for_their_own_cost():
+    none = lambda t: None
+    a, b, c = (quality_rules.Rule(n, none, needs) for n, needs in (("a", ("n_symbols",)), ("b", ("n_lines",)), ("c", ("n_dup_lines",))))
+    spent = {"n_symbols": 1.0, "words": 2.0, "running": 2.0, "lines": 5.0, "n_lines": 1.0, "n_dup_lines": 1.5}
+    together = {0b000: 50, 0b001: 3, 0b010: 20, 0b110: 20, 0b100: 1}
+    order = lambda *known: [r.name for r in quality_rules.best_order((a, b, c), spent, together, quality_rules.all_needs(known))]
+    assert order() == ["b", "a", "c"]  # b rejects 40 for 10, a 3 for 1; after b, c rejects 1 only
+    assert order("lines") == ["b", "a", "c"] and order("n_dup_lines") == ["c", "b", "a"]
+    assert [r.name for r in quality_rules.best_order((a, b, c), spent, {0b100: 9}, set())] == ["c", "a", "b"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_features_are_carried_to_the_rows_that_are_left(seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice("ab AB#1é\n\x01 ") for _ in range(r.randint(0, 90))) for _ in range(40)] + [None, "", "x y\nx y\nx y\n" * 9]
+    mask = np.array([r.random() < 0.5 for _ in texts])
+    whole = quality_rules.Texts(pa.array(texts))
+    for name in quality_rules.FEATURES:
+        whole[name]
+    part, fresh = whole.taken(mask), quality_rules.Texts(pa.array([t for t, m in zip(texts, mask, strict=True) if m], pa.string()))
+    for name in quality_rules.FEATURES:
+        for x, y in zip(np.atleast_2d(part[name]) if name not in ("words", "lines") else part[name], np.atleast_2d(fresh[name]) if name not in ("words", "lines") else fresh[name], strict=True):
+            assert np.array_equal(x, y), name
+    rules = (*quality_rules.BASE, *quality_rules.RULES)
+    want = quality_rules.cascade(whole, np.ones(len(texts), bool), rules) < 0
+    for _ in range(4):
+        r.shuffle(order := list(rules))
+        assert np.array_equal(quality_rules.cascade(quality_rules.Texts(pa.array(texts)), np.ones(len(texts), bool), tuple(order)) < 0, want)
+
+
 def test_automata_hold_all_substrings():
     text = b"abcbcabxyabc"
     automaton = language_id.fit({"t": text}).automata[0]
