@@ -420,10 +420,40 @@ def test_trust_and_distrust_follow_links(spark):
     rules = (("good", "/", "allow"), ("bad", "/", "block"))
     got = {r["host"]: r for r in url_filter.judged(df, rules).collect()}
     assert {h: r["verdict"] for h, r in got.items()} == {"t.good": "allow", "a.com": "allow", "b.com": "block", "s.bad": "block", "c.com": "allow"}
-    assert got["a.com"]["trust"] == pytest.approx(0.85) and got["b.com"]["distrust"] == pytest.approx(0.85) and got["c.com"]["trust"] == 0
+    assert got["a.com"]["trust"] == pytest.approx(1) and got["b.com"]["distrust"] == pytest.approx(1) and got["c.com"]["trust"] == 0
     assert {(r["source"], r["target"], r["weight"]) for r in url_filter.host_edges(df.withColumn("host", url_filter.host_of(df["url"]))).collect()} == {("t.good", "a.com", 2), ("b.com", "s.bad", 1)}
 
 
+def test_distrust_hangs_on_what_a_host_links_to(spark):
+    """Ten hosts that link only to a blocked host, and back; one with a link of many there; one trusted besides."""
+    link = lambda h: f'<a href="https://{h}/x">'
+    pages = [(f"http://farm{k}.com/", link("s.bad")) for k in range(10)]
+    pages += [("http://s.bad/", "".join(link(f"farm{k}.com") for k in range(10))), ("http://one.com/", link("s.bad") + "".join(link(f"x{k}.com") for k in range(9)))]
+    pages += [("http://t.good/", link("both.com")), ("http://both.com/", link("q.bad"))]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["host"]: r for r in url_filter.judged(df, (("good", "/", "allow"), ("bad", "/", "block"))).collect()}
+    assert {h for h, r in got.items() if r["verdict"] == "block"} == {"s.bad", *(f"farm{k}.com" for k in range(10))}
+    assert got["farm3.com"]["distrust"] == pytest.approx(1 / 1.85, abs=1e-3) and got["one.com"]["distrust"] < 0.3
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_linked_pages_against_the_sql(spark, tmp_path, seed):
+    import duckdb
+
+    r = random.Random(seed)
+    hosts = [f"h{k}.{r.choice(['net', 'net', 'example.net', 'org', 'com', 'example.com', 'io'])}" for k in range(60)]
+    link = lambda: f"<a href='//{r.choice(hosts)}/'>"
+    rows = [(k, f"http://{r.choice(hosts)}{r.choice(['/en/', '/fr/', '/de/', '/'])}x", "".join(link() for _ in range(r.randint(0, 3)))) for k in range(240)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.sql(url_filter.SQL)
+    got = url_filter.op1_url_filter(spark, str(tmp_path)).select(*want.columns).collect()
+    found = sorted(want.fetchall(), key=repr)
+    assert sorted(map(tuple, got), key=repr) == found
+    assert {v for *_, rule, v in found if rule is None} == {"allow", "block"}
+
+
 @pytest.mark.parametrize(("url", "host", "path"), [("HTTPS://A.B:80/x/y?z#q", "a.b:80", "/x/y"), ("x://?a", "", ""), ("no", "", ""), (None, "", ""), ("a://b://c/d", "b:", "//c/d"), ("//x/y", "", ""), ("h://É.com#/a", "É.com", "")])
 def test_hosts_and_paths(spark, url, host, path):
     r = spark.createDataFrame([(url,)], "u string").select(url_filter.host_of(url_filter.F.col("u")), url_filter.path_of(url_filter.F.col("u"))).first()
