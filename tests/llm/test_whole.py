@@ -40,3 +40,11 @@ def test_near_copies_at_the_pipelines_threshold(spark):
     copy = base[:-18] + [f"x{i}" for i in range(18)]
     docs = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(copy)), (2, "some other text of its own")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in minhash_tensor.one_of_each(docs).collect()) == [0, 2]
+
+
+def test_words_that_tie_fill_the_lookup(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "LOOKUP", 50)
+    counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), 7) for i in range(60)] + [(bytearray(b"top"), 9), (bytearray(b"low"), 1)], "word binary, c long")
+    lex = recurrent_lm.lexicon(counts, 3)
+    assert len(lex.words) == 50 and lex.words[0] == b"top" and b"low" not in lex.words
+    assert len(recurrent_lm.lexicon(counts.where("c < 9 AND word < X'773130'"), 3).words) == 3
