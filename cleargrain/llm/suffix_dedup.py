@@ -3,8 +3,9 @@
 Every string of `least` bytes has an anchor: of its runs of SEED bytes the one with the smallest hash. Equal strings have
 equal anchors, so only starts with an anchor that occurs again can be repeats. Starts next to each other that share an
 anchor make one window, their text; equal windows are counted, not copied. Windows of one anchor meet in one task, which
-finds the repeats among them by interval expansion (`bwt_repeats`); a window that stands alone under its anchor has nothing
-to be compared with, and is repeated as a whole if it was counted twice.
+finds the repeats among them by interval expansion (`bwt_repeats`). A window that is alone under its anchor can share
+strings with its own copies only; if it was counted more than once, it goes through a transform with its count, where its text is
+read.
 
 An anchor with many different windows is dealt out further: its windows are cut by the starts' distance from the anchor
 into parts of 16 starts, and parts meet by the bytes that all strings of such a part share; parts that are still too many
@@ -119,10 +120,15 @@ def _occurrences(rows: DataFrame, least: int, seed: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """wanted's windows (group_, content, anchor, weight, kinds, n; from: a row and a place that has each) with their texts."""
+    """wanted's windows (group_, content, anchor, weight, kinds, n; from: a row and a place that has each) with their texts.
+
+    A window that is alone in its group (kinds = 1) has no text, but ranges, as `_transformed` gives them: all that it can share
+    is with its own copies, so it goes through a transform here, together with its neighbours in the row as one text.
+    """
     asked = wanted.groupBy(F.col("source.__id").alias("i"), F.col("source.__row").alias("r")).agg(F.collect_list(F.struct("group_", "content", "anchor", "weight", "kinds", F.col("source.first").alias("first"), "n")).alias("windows"))
     # Rows alike in id and text have the same text; one is enough.
     met = rows.join(asked, rows["__id"].eqNullSafe(asked["i"]) & (rows["__row"] == asked["r"])).select("text", "windows")
+    names = ["group_", "content", "anchor", "weight", "kinds", "n", "text", "ranges"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,11 +138,25 @@ def _texts(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 lists = piece.column(1)
                 each = lists.flatten()
                 row = np.repeat(at[:-1], np.diff(np.append(np.asarray(lists.offsets), [])).astype(np.int64))
-                first, n = np.asarray(each.field("first")), np.asarray(each.field("n"))
-                texts = [raw[a:b] for a, b in zip((row + first).tolist(), (row + first + n + least - 1).tolist(), strict=True)]
-                yield pa.record_batch([*(each.field(c) for c in ("group_", "content", "anchor", "weight", "kinds", "n")), pa.array(texts, pa.binary())], names=["group_", "content", "anchor", "weight", "kinds", "n", "text"])
-
-    return met.mapInArrow(work, "group_ long, content long, anchor long, weight long, kinds long, n int, text binary").dropDuplicates(["group_", "content"])
+                first, n = np.asarray(each.field("first")) + row, np.asarray(each.field("n")).astype(np.int64)
+                alone = np.asarray(each.field("kinds")) == 1
+                texts = [None if x else raw[a:b] for a, b, x in zip(first.tolist(), (first + n + least - 1).tolist(), alone.tolist(), strict=True)]
+                ranges: list[list[int] | None] = [None] * len(texts)
+                own = np.flatnonzero(alone)
+                own = own[np.argsort(first[own], kind="stable")]
+                if len(own):
+                    # Windows whose starts follow each other in one row are a stretch.
+                    begins = np.append(True, (first[own][1:] != (first + n)[own][:-1]) | (row[own][1:] != row[own][:-1]))
+                    stretch = np.cumsum(begins) - 1
+                    low, high = first[own][begins], (first + n)[own][np.append(begins[1:], True)]
+                    weights = np.minimum.reduceat(np.asarray(each.field("weight"))[own], np.flatnonzero(begins)).tolist()
+                    marks = repeated([raw[a : b + least - 1] for a, b in zip(low.tolist(), high.tolist(), strict=True)], weights, least)
+                    for i, k in zip(own.tolist(), stretch.tolist(), strict=True):
+                        a = int(first[i] - low[k])
+                        ranges[i] = _ranges(marks[k][a : a + int(n[i])])
+                yield pa.record_batch([*(each.field(c) for c in names[:6]), pa.array(texts, pa.binary()), pa.array(ranges, pa.list_(pa.int32()))], names=names)
+
+    return met.mapInArrow(work, "group_ long, content long, anchor long, weight long, kinds long, n int, text binary, ranges array<int>").dropDuplicates(["group_", "content"])
 
 
 def _ranges(mask: np.ndarray) -> list[int]:
@@ -212,12 +232,12 @@ def _cut(hot: DataFrame, least: int, seed: int, part: int) -> DataFrame:
 
 
 def _found(met: DataFrame, least: int, seed: int, most: int, levels: tuple[int, ...] = PARTS) -> DataFrame:
-    """group_, content, ranges of windows (group_, content, anchor, weight, kinds, n, text) with repeated starts."""
-    alone = met.where("kinds = 1 AND weight > 1").select("group_", "content", F.array(F.lit(0), F.col("n")).alias("ranges"))
-    if not levels:
-        return alone  # single starts: a group is one string
-    out = alone.unionByName(_transformed(met.where(F.col("kinds").between(2, most)), least))
+    """group_, content, ranges of windows (group_, content, weight, kinds, anchor, n, text) with repeated starts; groups of more
+    than `most` windows are cut, as far as there are levels."""
+    out = _transformed(met.where(F.col("kinds") <= most) if levels else met, least)
     hot = met.where(F.col("kinds") > most)
+    if not levels:
+        return out  # single starts: a group is one string, counted
     if hot.isEmpty():
         return out
     cut = settled(_cut(hot, least, seed, levels[0]), "cut")
@@ -239,9 +259,9 @@ def spans(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int =
     distinct = settled(distinct, "distinct")
     kinds = settled(distinct.groupBy("group_").agg(F.count("*").alias("kinds")), "kinds")
     distinct = distinct.join(kinds, "group_").withColumn("anchor", F.col("group_"))
-    texts = settled(_texts(rows, distinct.where("kinds > 1"), least), "texts")
-    alone = distinct.where("kinds = 1 AND weight > 1").select("group_", "content", F.array(F.lit(0), F.col("n")).alias("ranges"))
-    found = settled(alone.unionByName(_found(texts, least, seed, most)), "found")
+    texts = settled(_texts(rows, distinct.where("kinds > 1 OR weight > 1"), least), "texts")
+    alone = texts.where("kinds = 1 AND size(ranges) > 0").select("group_", "content", "ranges")
+    found = settled(alone.unionByName(_found(texts.where("kinds > 1"), least, seed, most)), "found")
     hit = occurrences.join(found.withColumnRenamed("group_", "anchor"), ["anchor", "content"])
     return hit.groupBy("__id", "__row").agg(F.collect_list(F.struct("first", "ranges")).alias("pieces"))
 
