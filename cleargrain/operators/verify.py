@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleargrain.errors import Category, fail, raised
@@ -20,7 +20,7 @@ from cleargrain.operators.compile import Sources, scan
 from cleargrain.operators.rules import schema_after, value_after
 from cleargrain.plans.model import ApplyRules, Deduplicate, DropColumn, Filter, FilterRows, Materialize, Plan, Project, Rename, Scan, Validate
 from cleargrain.plans.types import LogicalSchema, LogicalType
-from cleargrain.workspace import settled
+from cleargrain.workspace import local_rows, settled
 
 #: Fixed limits of verification.
 MAX_FINDINGS, MAX_KEY_BYTES = 256, 64 << 10
@@ -59,20 +59,20 @@ class Verified:
 
 
 def dense_ordinals(df: DataFrame, keys: list[str], name: str = "__ordinal") -> DataFrame:
-    """Numbers rows from 0 in the order of keys, which must be unique. No task sorts more than its range of them.
+    """Numbers rows from 0 in the order of keys, and of the whole row's hash where keys tie. No task sorts more than its range of them.
 
-    Rows are dealt by ranges of the keys and kept so; ranges are counted, and a row's number is its place within its range
+    Rows are dealt by ranges of the keys, sorted and kept so; ranges are counted, and a row's number is its place within its range
     after those before.
     """
-    held = settled(df.repartitionByRange(*[quoted(k) for k in keys]).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = sorted((r["__range"], r["n"]) for r in held.groupBy("__range").agg(F.count("*").alias("n")).collect())  # a row for each range
+    ordered = df.repartitionByRange(*[quoted(k) for k in keys]).sortWithinPartitions(*[quoted(k) for k in keys], F.xxhash64(*[quoted(c) for c in df.columns]))
+    held = settled(ordered.withColumn("__place", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     before, offsets = 0, []
-    for part, n in counts:
-        offsets.append((part, before))
-        before += n
-    ahead = df.sparkSession.createDataFrame(offsets, "__range int, __ahead long")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*[quoted(k) for k in keys])) - 1
-    return held.withColumn("__place", place).join(F.broadcast(ahead), "__range").withColumn(name, (F.col("__place") + F.col("__ahead")).cast("long")).drop("__range", "__place", "__ahead")
+    for r in sorted(held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row for each range
+        offsets.append((r["part"], before))
+        before += r["n"]
+    ahead = local_rows(df.sparkSession, offsets, "__range long, __ahead long")
+    return held.join(F.broadcast(ahead), part == F.col("__range")).withColumn(name, (place + F.col("__ahead")).cast("long")).drop("__range", "__place", "__ahead")
 
 
 def key_bytes(c: Column, t: LogicalType) -> Column:
@@ -100,7 +100,11 @@ def _prefixed(schema: LogicalSchema) -> LogicalSchema:
 
 
 def verify(plan: Plan, sources: Sources, order_keys: list[str], provenance: Provenance | None = None) -> Verified:
-    """Routes all rows that the plan's scan gives; order_keys are names of scanned columns that number the rows."""
+    """Routes all rows that the plan's scan gives; order_keys are names of scanned columns that number the rows.
+
+    Rows that tie in these are numbered by a hash of the row; rows alike in all columns are told apart by nothing, and may
+    change places.
+    """
     path = _linear(plan)
     if not isinstance(plan.nodes[plan.root], Materialize):
         fail(Category.INVALID_PLAN, "a plan ends in Materialize")
@@ -124,10 +128,12 @@ def verify(plan: Plan, sources: Sources, order_keys: list[str], provenance: Prov
                 df = _validated(df, predicate(rule.predicate, inner), name, ordinal, rule)
                 validations.append((name, ordinal, rule))
             elif isinstance(rule, Deduplicate):
+                if dedups:  # the frame is read twice; what went before is not run twice
+                    df = settled(df, "routing")
                 df = _deduplicated(df, schema, name, ordinal, rule)
                 dedups.append((name, ordinal, rule))
             elif isinstance(rule, FilterRows):
-                df = df.withColumn("__alive", F.col("__alive") & F.coalesce(predicate(rule.predicate, inner), F.lit(False)))
+                df = df.withColumn("__alive", F.col("__alive") & F.coalesce(F.when(F.col("__alive"), predicate(rule.predicate, inner)), F.lit(False)))
             elif isinstance(rule, Rename):
                 old = schema.by_id(rule.column).name
                 schema = schema_after(schema, rule)
@@ -168,6 +174,7 @@ def _seen(name: str, ordinal: int) -> Column:
 
 
 def _validated(df: DataFrame, p: Column, name: str, ordinal: int, rule: Validate) -> DataFrame:
+    p = F.when(F.col("__alive"), p)  # a rule that would fail the run isn't evaluated for a row that is out
     failed = F.col("__alive") & ~F.coalesce(p, F.lit(False))
     outcome = F.when(p.isNull(), "null").otherwise("false")
     finding = F.array(F.struct(F.lit(name).alias("node_id"), F.lit(ordinal).alias("rule_ordinal"), F.lit(rule.severity).alias("severity"), outcome.alias("predicate_outcome"))).cast(FINDING)
@@ -209,7 +216,7 @@ def _deduplicated(df: DataFrame, schema: LogicalSchema, name: str, ordinal: int,
 
 def _validation_summary(routed: DataFrame, rules: list[tuple[str, int, Validate]], said: list[Column]) -> DataFrame:
     """One row for each validation, also for those that no row reached."""
-    listed = routed.sparkSession.createDataFrame([(n, o, r.message, f"{o}@{n}") for n, o, r in rules], "node_id string, rule_ordinal int, message string, key string")
+    listed = local_rows(routed.sparkSession, [(n, o, r.message, f"{o}@{n}") for n, o, r in rules], "node_id string, rule_ordinal int, message string, key string")
     evaluated = routed.select(F.explode("__seen").alias("key")).groupBy("key").agg(F.count("*").alias("evaluated"))
     hit = lambda field, value: F.count_if(F.col(f"f.{field}") == value)
     failed = (
@@ -226,7 +233,7 @@ def _validation_summary(routed: DataFrame, rules: list[tuple[str, int, Validate]
 
 
 def _dedup_summary(routed: DataFrame, rules: list[tuple[str, int, Deduplicate]], said: list[Column]) -> DataFrame:
-    listed = routed.sparkSession.createDataFrame([(n, o, len(r.keys), f"{o}@{n}") for n, o, r in rules], "node_id string, rule_ordinal int, key_column_count int, key string")
+    listed = local_rows(routed.sparkSession, [(n, o, len(r.keys), f"{o}@{n}") for n, o, r in rules], "node_id string, rule_ordinal int, key_column_count int, key string")
     evaluated = routed.select(F.explode("__seen").alias("key")).groupBy("key").agg(F.count("*").alias("evaluated"))
     again = routed.select(F.explode("__duplicates").alias("d")).groupBy(F.col("d.node_id").alias("n"), F.col("d.rule_ordinal").alias("o")).agg(F.count("*").alias("again"))
     joined = listed.join(evaluated, "key", "left").join(again, (F.col("n") == F.col("node_id")) & (F.col("o") == F.col("rule_ordinal")), "left")

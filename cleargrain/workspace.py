@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +31,13 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's as part of the plan; no job and no Python worker is needed to read it."""
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind))
+
+
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends there, and its size is known to the planner."""
     spark = frame.sparkSession

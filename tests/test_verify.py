@@ -7,6 +7,7 @@ from test_plans import linear, rules, table
 
 from cleargrain.errors import CleaningError, sanitised
 from cleargrain.functions.expressions import Binary, Col, lit
+from cleargrain.operators import verify as verify_module
 from cleargrain.operators.verify import Provenance, dense_ordinals, verify
 from cleargrain.plans.model import CastColumn, Deduplicate, DeriveColumn, DropColumn, FilterRows, Rename, Trim, Validate
 from cleargrain.plans.types import INT64
@@ -95,3 +96,34 @@ def test_ordinals_are_dense_over_partitions(spark):
     df = spark.range(1000).repartition(7).selectExpr("id * 3 AS k")
     got = dense_ordinals(df, ["k"]).collect()
     assert sorted((r["k"], r["__ordinal"]) for r in got) == [(3 * i, i) for i in range(1000)]
+
+
+def test_ordinals_of_ties_do_not_hang_on_the_partitioning(spark):
+    df = spark.range(600).selectExpr("id % 7 AS k", "id AS v")
+    first, second = (sorted(map(tuple, dense_ordinals(d, ["k"]).collect())) for d in (df.repartition(3), df.repartition(11, "v")))
+    assert first == second and sorted(x[2] for x in first) == list(range(600))
+
+
+def test_rules_that_would_fail_are_not_evaluated_for_rows_that_are_out(spark):
+    t = table(spark, "i long, v long", [(0, 0), (1, 5), (2, 20)])
+    big = Binary("greater_than_or_equal", Binary("divide", lit(10), Col("v")), lit(1))
+    some = Binary("not_equal", Col("v"), lit(0))
+    v = routed(spark, t, Validate(some, "error", "zero"), Validate(big, "error", "big"), Validate(big, "warning", "big"))
+    assert rows(v.accepted, "i") == [(1,)] and rows(v.rejected, "i", "rule_ordinal") == [(0, 0), (2, 1)]
+    assert rows(routed(spark, t, Validate(some, "error", "zero"), FilterRows(big)).accepted, "i") == [(1,)]
+    with pytest.raises(CleaningError), sanitised():
+        routed(spark, t, Validate(big, "error", "big")).accepted.collect()
+
+
+def test_plans_grow_with_the_rules(spark):
+    """Each deduplication reads a kept frame twice, whatever went before."""
+    t = table(spark, "i long, v long, w long", [(n, n % 5, n % 7) for n in range(40)])
+    written = []
+    original = verify_module.settled
+    verify_module.settled = lambda df, name: written.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")) or original(df, name)
+    try:
+        v = routed(spark, t, *[Deduplicate((("v",), ("w",), ("v", "w"))[k % 3]) for k in range(9)])
+    finally:
+        verify_module.settled = original
+    assert rows(v.dedup_summary, "rule_ordinal", "evaluated_count")[:3] == [(0, 40), (1, 5), (2, 5)]
+    assert len(written) == 10 and max(written) <= 4
