@@ -40,7 +40,7 @@ BINS = 64
 CLASSES = 128
 HIDDEN = 24
 EMBEDDED = 16
-STEPS, STREAMS = 16, 512
+STEPS, STREAMS = 16, 768
 TRAINER_TOKENS = 2_500_000
 RATE = 0.15
 #: A symbol as it is stored.
@@ -374,20 +374,29 @@ class Network:
         def close() -> None:
             if held:
                 got, _ = self.output(np.concatenate(held), np.concatenate(wanted), tame=tame)
-                np.add.at(total, np.concatenate(owners), got.astype(np.float64))
+                total[:] += np.bincount(np.concatenate(owners), got, len(total))
             held.clear(), owners.clear(), wanted.clear()
 
-        live = len(order)
-        for t in range(int(size[0]) if len(size) else 0):
-            while live and size[live - 1] <= t:
+        live, t = len(order), 0
+        while len(size) and t < size[0]:
+            while size[live - 1] <= t:
                 live -= 1
-            given = np.full(live, end) if t == 0 else symbols[start[:live] + t - 1]
-            old, h = h[:live], np.empty((live, HIDDEN), np.float32)
-            self.step(table[given], old, h, gates[:live], new[:live], g[:live])
-            held.append(h)
-            owners.append(np.arange(live))
-            wanted.append(symbols[start[:live] + t])
-            count += live
+            steps = int(min(size[live - 1] - t, max(1, SCORE_TOKENS // live)))  # as long as all of these go on
+            at = start[:live] + (t + np.arange(steps))[:, None]
+            want = symbols[at]
+            given = symbols[np.maximum(at - 1, 0)]
+            if t == 0:
+                given[0] = end
+            inputs, states = table[given], np.empty((steps, live, HIDDEN), np.float32)
+            old = h[:live]
+            for k in range(steps):
+                self.step(inputs[k], old, states[k], gates[:live], new[:live], g[:live])
+                old = states[k]
+            h = old
+            held.append(states.reshape(-1, HIDDEN))
+            owners.append(np.tile(np.arange(live), steps))
+            wanted.append(want.ravel())
+            t, count = t + steps, count + steps * live
             if count >= SCORE_TOKENS:
                 close()
                 count = 0
@@ -504,7 +513,7 @@ def scored(docs: DataFrame, training: Callable[[str], Column], id: str = "doc_id
         lex = words_.value
         net = fresh(lex).load(model.value)
         for batch in batches:
-            for piece in pieces(batch, "symbols", PIECE_BYTES):
+            for piece in pieces(batch, "symbols", 2 * PIECE_BYTES):
                 score = net.score(*symbols_of(piece.column(7)), lex.end) / np.log(10) + piece.column(6).to_numpy()
                 yield pa.record_batch([*piece.columns[:6], pa.array(score)], names=names)
 
