@@ -20,6 +20,11 @@ class Category(Enum):
     SCHEMA_DRIFT = ("schema_drift", False)
     CAST_FAILURE = ("cast_failure", False)
     LIMIT_EXCEEDED = ("limit_exceeded", False)
+    AUTHENTICATION = ("authentication", False)
+    AUTHORIZATION = ("authorization", False)
+    RATE_LIMITED = ("rate_limited", True)
+    TIMEOUT = ("timeout", True)
+    TRANSIENT_SOURCE = ("transient_source", True)
     BUSY = ("busy", True)
     CANCELLED = ("cancelled", True)
     DEADLINE = ("deadline_exceeded", True)
@@ -41,7 +46,7 @@ def fail(category: Category, message: str):
     raise CleaningError(category, message)
 
 
-_SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "authorization")
+_SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "authorization", "connection_string")
 _SECRET_VALUE = re.compile(r"(?i)\b(?:bearer\s+\S+|basic\s+[a-z0-9+/=]{8,}|akia[0-9a-z]{16}|-----begin [a-z ]*private key)|://[^/\s:@]+:[^/\s@]+@")
 
 
@@ -60,7 +65,12 @@ _SPARK = (
     (("CAST_INVALID_INPUT", "CAST_OVERFLOW", "CANNOT_PARSE_TIMESTAMP"), Category.CAST_FAILURE, "a value can't be cast"),
     (("ARITHMETIC_OVERFLOW", "BINARY_ARITHMETIC_OVERFLOW", "DIVIDE_BY_ZERO", "REMAINDER_BY_ZERO", "INTERVAL_DIVIDED_BY_ZERO"), Category.INVALID_DATA, "an arithmetic result is out of range or a divisor is zero"),
     (("MALFORMED_RECORD", "FAILED_READ_FILE", "MALFORMED_CSV_RECORD", "CANNOT_READ_FILE_FOOTER"), Category.INVALID_DATA, "a file can't be read as its format"),
-    (("PATH_NOT_FOUND",), Category.NOT_FOUND, "a path isn't there"),
+    (("PATH_NOT_FOUND", "FileNotFoundException"), Category.NOT_FOUND, "a path isn't there"),
+    (("AccessControlException", "AccessDeniedException", "AccessDenied", "403 Forbidden"), Category.AUTHORIZATION, "a source refuses access"),
+    (("InvalidAccessKeyId", "SignatureDoesNotMatch", "401 Unauthorized", "Unable to load credentials"), Category.AUTHENTICATION, "a source doesn't know the credentials"),
+    (("SlowDown", "429 Too Many Requests", "TooManyRequests"), Category.RATE_LIMITED, "a source asks for fewer requests"),
+    (("SocketTimeoutException", "ConnectTimeoutException", "TimeoutException"), Category.TIMEOUT, "a source didn't answer in time"),
+    (("ConnectException", "UnknownHostException", "NoHttpResponseException", "503 Service Unavailable"), Category.TRANSIENT_SOURCE, "a source can't be reached now"),
 )
 
 

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from cleargrain.functions.expressions import Binary, Cast, Coalesce, Col, Expr, IsNull, Unary, lit
 from cleargrain.operators.cleaning import Stage, apply_stage, deduplicate, metrics, normalize, run_pipeline
 from cleargrain.operators.compile import Sources, compile_plan
+from cleargrain.operators.preview import preview, preview_node
 from cleargrain.operators.verify import Provenance, Verified, verify
 from cleargrain.plans.model import ApplyRules, CastColumn, Deduplicate, DeriveColumn, DropColumn, FillNull, Filter, FilterRows, Join, Materialize, Node, Plan, Project, Rename, ReplaceLiteral, Scan, Trim, Union, Validate
 from cleargrain.plans.types import BOOLEAN, FLOAT64, INT64, UTF8, LogicalSchema, schema_of, simple
+from cleargrain.workspace import local_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -220,9 +222,9 @@ def _():
     return pipe("lineitem", "l_orderkey l_linenumber l_quantity", where(b("greater_than_or_equal", "@l_linenumber", "@l_quantity")), project("l_orderkey l_linenumber"))
 
 
-@query("cmp_timestamp", "SELECT o.o_orderkey FROM orders o WHERE o_orderdate <= CAST('1994-01-01' AS TIMESTAMP)")
+@query("cmp_timestamp", "SELECT o.o_orderkey FROM orders o WHERE o_orderdate <= CAST('1997-01-01' AS TIMESTAMP)")
 def _():
-    return pipe("orders", "o_orderkey o_orderdate", where(b("less_than_or_equal", "@o_orderdate", Cast(lit("1994-01-01 00:00:00"), _timestamp()))), project("o_orderkey"))
+    return pipe("orders", "o_orderkey o_orderdate", where(b("less_than_or_equal", "@o_orderdate", Cast(lit("1997-01-01 00:00:00"), _timestamp()))), project("o_orderkey"))
 
 
 def _timestamp():
@@ -314,9 +316,9 @@ def _():
     return join("semi", "c_custkey c_name", rwhere=_BIG)
 
 
-@query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
+@query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _():
-    return join("anti", "c_custkey c_name", rwhere=_BIG)
+    return join("anti", "c_custkey c_name", rwhere=b("greater_than", "@o_totalprice", 400000.0))
 
 
 @query("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity AS r_l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey WHERE a.l_quantity > 40")
@@ -455,6 +457,33 @@ def _gaps(spark, sf_dir):
     return _core(v.validation_findings, "source_row_ordinal")
 
 
+_PART = "user_id - 5"
+
+
+@query("routing_guarded", f"SELECT event_id FROM events WHERE user_id <> 5 AND CASE WHEN user_id <> 5 THEN 100 // ({_PART}) >= 1 END")
+def _guarded(spark, sf_dir):
+    """A rule that would fail the run isn't evaluated for rows that an earlier one rejected."""
+    some = Validate(b("not_equal", "@user_id", 5), "error", "user 5")
+    large = Validate(b("greater_than_or_equal", b("divide", 100, b("subtract", "@user_id", 5)), 1), "error", "far from 5")
+    return _core(_verified(spark, sf_dir, some, large).accepted, "event_id")
+
+
+_THREE = f"""WITH a AS (SELECT *, {_ORDINAL} AS o FROM events), b AS (SELECT *, min(o) OVER (PARTITION BY user_id, event_type) AS f FROM a), c AS (SELECT *, min(o) OVER (PARTITION BY user_id) AS g FROM b WHERE o = f),
+d AS (SELECT *, min(o) OVER (PARTITION BY event_type) AS h FROM c WHERE o = g) """
+
+
+@query("dedup_three_rules", _THREE + "SELECT 0 AS rule_ordinal, count(*) AS evaluated_count, count(*) FILTER (o = f) AS unique_count, count(*) FILTER (o > f) AS duplicate_count FROM b UNION ALL SELECT 1, count(*), count(*) FILTER (o = g), count(*) FILTER (o > g) FROM c UNION ALL SELECT 2, count(*), count(*) FILTER (o = h), count(*) FILTER (o > h) FROM d")
+def _three(spark, sf_dir):
+    """Each rule sees what the one before left."""
+    v = _verified(spark, sf_dir, Deduplicate(("user_id", "event_type")), Deduplicate(("user_id",)), Deduplicate(("event_type",)))
+    return _core(v.dedup_summary, "rule_ordinal", "evaluated_count", "unique_count", "duplicate_count")
+
+
+@query("dedup_three_accepted", _THREE + "SELECT event_id, o AS __ordinal FROM d WHERE o = h")
+def _three_accepted(spark, sf_dir):
+    return _core(_verified(spark, sf_dir, Deduplicate(("user_id", "event_type")), Deduplicate(("user_id",)), Deduplicate(("event_type",))).accepted, "event_id", "__ordinal")
+
+
 # --- the cleaning pipeline
 
 _CUSTOMERS = """SELECT 'C' || o_orderkey::VARCHAR AS customer_id, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 7 = 0 THEN ' ' ELSE ' ' || c_name END AS name,
@@ -542,14 +571,17 @@ def _pipe_run(spark, sf_dir):
 
 @query("preview_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def _preview(spark, sf_dir):
-    """The rows that a preview of an ordered source shows first."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    """The rows that a preview of an ordered source shows."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return spark.createDataFrame(preview(df, schema_of(df.schema, "orders"), 100).table)
 
 
-@query("node_preview_prefix", "SELECT count(*) AS n, bool_and(o_totalprice > 1000) AS kept FROM orders WHERE o_totalprice > 1000")
+@query("node_preview_prefix", "SELECT least(count(*), 700) AS n, true AS kept, count(*) > 700 AS rows_truncated FROM orders WHERE o_totalprice > 1000")
 def _node_preview(spark, sf_dir):
-    """A plan compiled only as far as one of its nodes."""
-    return compile_plan(_flagship(), sources(spark, sf_dir), "n1").df.agg(F.count("*").alias("n"), F.bool_and(F.col("o_totalprice") > 1000).alias("kept"))
+    """A preview of a node within a plan: of its rows, before those after it."""
+    p = preview_node(_flagship(), sources(spark, sf_dir), "n1", rows=700)
+    kept = all(x > 1000 for x in p.table.column("o_totalprice").to_pylist())
+    return local_rows(spark, [(p.table.num_rows, kept, p.rows_truncated)], "n long, kept boolean, rows_truncated boolean")
 
 
-from cleargrain.plans import catalog_io  # noqa: E402, F401 registers its queries here
+from cleargrain.plans import catalog_io, catalog_laws  # noqa: E402, F401 register their queries here

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -30,9 +31,8 @@ def _new(spark: SparkSession, name: str) -> str:
 
 
 def _local(spark: SparkSession, name: str) -> Path:
-    path = Path(_new(spark, name).removeprefix("file://"))
-    path.parent.mkdir(parents=True)
-    return path
+    """A path of the driver's own, for files that it alone writes and reads (workbooks, local folders)."""
+    return Path(tempfile.mkdtemp(prefix="cleargrain-")) / name
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _book(spark, sf_dir):
 
 
 def _store(spark: SparkSession) -> Store:
-    return Store(spark, str(_local(spark, "store")))
+    return Store(spark, _new(spark, "store"))
 
 
 @query("sink_snapshot", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")

@@ -2,7 +2,7 @@
 
 A schema is inferred from a bounded sample, or given; then every value of every column, also of those that aren't
 projected, must fit it. Text files are read as text columns and cast by the engine's own rules, so Spark's inference
-and its lenient parsing play no part; the drift check is one aggregation over the same scan.
+and its lenient parsing play no part; the drift check is part of the scan, which fails at a value that doesn't fit.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import math
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ class Options:
     header: bool = True
     sample_rows: int = SAMPLE_ROWS
     sample_bytes: int = SAMPLE_BYTES
+    #: Whether cells may hold line breaks; None: found out by a scan.
+    line_breaks: bool | None = None
 
     def __post_init__(self) -> None:
         if not (0 < self.sample_rows <= MAX_SAMPLE_ROWS and 0 < self.sample_bytes <= MAX_SAMPLE_BYTES):
@@ -129,21 +132,37 @@ def merged_fields(a: tuple[LogicalField, ...], b: tuple[LogicalField, ...]) -> t
 
 
 def _sample_lines(spark: SparkSession, path: str, options: Options, more: int) -> tuple[list[str], bool]:
-    """First lines within the sample's bounds, and whether there are more."""
-    rows = spark.read.text(path).limit(options.sample_rows + more + 1).toLocalIterator()
-    out, size = [], 0
-    for row in rows:
-        size += len(row[0].encode()) + 1
+    """First lines within the sample's bounds, and whether there are more. A quoted cell that the sample cuts off goes with its line."""
+    rows = spark.read.text(path).select("value", F.is_valid_utf8("value")).limit(options.sample_rows + more + 1).toLocalIterator()
+    out, size, cut = [], 0, False
+    for text, valid in rows:
+        if not valid:
+            fail(Category.INVALID_DATA, "a file isn't UTF-8")
+        size += len(text.encode()) + 1
         if len(out) == options.sample_rows + more or (size > options.sample_bytes and out):
-            return out, True
-        out.append(row[0])
-    return out, False
+            cut = True
+            break
+        out.append(text)
+    quotes = [line.count(options.quote) for line in out]
+    while cut and sum(quotes) % 2:
+        out.pop()
+        quotes.pop()
+    return out, cut
+
+
+def _spread(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether cells may go over several lines: some line has an odd number of quotes. Files that aren't UTF-8 are refused."""
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit(quote), F.lit("")))) % 2 == 1
+    found = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8(value)).alias("invalid"), F.count_if(odd).alias("odd")).first()
+    if found["invalid"]:
+        fail(Category.INVALID_DATA, "a file isn't UTF-8")
+    return found["odd"] > 0
 
 
-def _check_utf8(spark: SparkSession, path: str) -> None:
-    """Files that aren't UTF-8 are refused."""
-    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
-        fail(Category.INVALID_DATA, "a file isn't UTF-8")
+def _refusing(df: DataFrame, bad: Column, category: Category, message: str) -> DataFrame:
+    """The rows, or a failed run where they are read; a filter stays where columns are pruned, so there is no scan of its own."""
+    return df.where(F.when(bad, raised(category, message).cast("boolean")).otherwise(True))
 
 
 def _records(lines: list[str], options: Options, delimiter: str) -> list[list[str]]:
@@ -199,7 +218,8 @@ def _object(text: str) -> dict[str, object]:
 def json_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One row of JSON text for each object. A file that is one array is parsed by one task, as it has no lines to split at."""
     if kind == "ndjson":
-        lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias(RAW))
+        text = _refusing(spark.read.text(path), ~F.is_valid_utf8("value"), Category.INVALID_DATA, "a file isn't UTF-8")
+        lines = text.select(F.regexp_replace("value", "^\ufeff", "").alias(RAW))
         return lines.where(F.length(F.trim(F.col(RAW))) > 0)
     whole = spark.read.option("wholetext", True).text(path).select(_one_value(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
     framed = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(raised(Category.INVALID_DATA, "a file is not one array of objects").cast("variant"))
@@ -237,9 +257,7 @@ def inspect(spark: SparkSession, path: str, options: Options | None = None, kind
             schema = spark.read.parquet(path).schema
             return Inspection(kind, schema_of(schema, path), 0)
         if kind in ("csv", "tsv"):
-            _check_utf8(spark, path)
             return replace(infer_delimited(spark, path, options, "\t" if kind == "tsv" else options.delimiter), format=kind)
-        _check_utf8(spark, path)
         return infer_json(spark, path, options, kind)
 
 
@@ -281,24 +299,26 @@ def text_value(c: Column, t: LogicalType) -> Column:
 
 
 def _typed(df: DataFrame, schema: LogicalSchema, check: bool) -> DataFrame:
-    """Text columns cast; with check, one pass counts values that don't fit, over all columns."""
+    """Text columns cast; with check, a value that doesn't fit its type fails the run, in any column."""
     bad = []
     for f in schema.fields:
         c = quoted(f.name)
         wrong = F.lit(False) if f.type.kind == "utf8" else c.isNotNull() & text_value(c, f.type).isNull()
-        bad.append(F.count_if(wrong if f.nullable else wrong | c.isNull()).alias(f.name))
-    if check:
-        found = df.agg(*bad).first()
-        if any(found):
-            fail(Category.SCHEMA_DRIFT, f"{sum(map(bool, found))} columns have values that don't fit their types")
+        bad.append(wrong if f.nullable else wrong | c.isNull())
+    if check and bad:
+        df = _refusing(df, reduce(Column.__or__, bad), Category.SCHEMA_DRIFT, "a value doesn't fit its column")
     return df.select(*[text_value(quoted(f.name), f.type).alias(f.name) for f in schema.fields])
 
 
 def read_delimited(spark: SparkSession, path: str, schema: LogicalSchema, options: Options, delimiter: str, check: bool = True) -> DataFrame:
-    """All cells as text first. A row of the wrong width fails the run, also where a column isn't used; so does a value that doesn't fit."""
+    """All cells as text first. A row of the wrong width fails the run, also where a column isn't used; so does a value that doesn't fit.
+
+    A file with cells of several lines can't be split at lines, so one task reads it; other files are split.
+    """
     names = [f.name for f in schema.fields]
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(texts).option("sep", delimiter).option("quote", options.quote).option("escape", options.quote).option("header", options.header)
+    spread = _spread(spark, path, options.quote) if options.line_breaks is None else options.line_breaks
+    reader = spark.read.schema(texts).option("multiLine", spread).option("sep", delimiter).option("quote", options.quote).option("escape", options.quote).option("header", options.header)
     df = reader.option("mode", "FAILFAST").option("columnPruning", False).option("enforceSchema", True).option("emptyValue", "").option("nullValue", "").csv(path)
     first = F.regexp_replace(quoted(names[0]), "^\ufeff", "")
     df = df.withColumn(names[0], F.when(first != "", first))
@@ -334,21 +354,22 @@ def read_json(spark: SparkSession, path: str, schema: LogicalSchema, kind: str,
     names = F.array(*[F.lit(f.name) for f in schema.fields])
     keys = F.json_object_keys(RAW)
     whole = F.col("v").isNotNull() & keys.isNotNull()
-    bad = [F.count_if(~F.coalesce(whole, F.lit(False)) | (F.size(F.array_except(keys, names)) > 0) | (F.size(F.array_distinct(keys)) < F.size(keys))).alias("__rows")]
+    bad = [~F.coalesce(whole, F.lit(False)) | (F.size(F.array_except(keys, names)) > 0) | (F.size(F.array_distinct(keys)) < F.size(keys))]
     columns = []
     for f in schema.fields:
         own = F.try_variant_get("v", "$['" + f.name.replace("'", "\\'") + "']", "variant")
         value, fits = _json_value(own, f.type)
         given = own.isNotNull() & (F.schema_of_variant(own) != "VOID")
-        bad.append(F.count_if((given & ~F.coalesce(fits, F.lit(False))) | (~given if not f.nullable else F.lit(False))).alias(f.name))
+        given = F.coalesce(given, F.lit(False))
+        bad.append((given & ~F.coalesce(fits, F.lit(False))) | (~given if not f.nullable else F.lit(False)))
         columns.append(F.when(given, value).alias(f.name) if f.type.kind != "null" else F.lit(None).alias(f.name))
-    if check and any(rows.agg(*bad).first()):
-        fail(Category.SCHEMA_DRIFT, "rows don't fit their schema")
+    if check:
+        rows = _refusing(rows, reduce(Column.__or__, bad), Category.SCHEMA_DRIFT, "a row doesn't fit its schema")
     return rows.select(*columns)
 
 
 def read(spark: SparkSession, path: str, projection: list[str] | None = None, schema: LogicalSchema | None = None, options: Options | None = None, kind: str | None = None, check: bool = True) -> tuple[DataFrame, LogicalSchema]:
-    """The source's rows and schema, projected to some columns. Drift in any column, projected or not, fails."""
+    """The source's rows and schema, projected to some columns. Drift in any column, projected or not, fails where the rows are read."""
     options, kind = options or Options(), kind or format_of(path)
     found = inspect(spark, path, options, kind).schema if schema is None or kind == "parquet" else schema
     settled_schema = overridden(found, schema, kind) if schema is not None else found

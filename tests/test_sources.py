@@ -76,7 +76,7 @@ def test_bool_and_text_is_drift(spark, tmp_path):
 def test_drift_after_the_sample_also_where_not_projected(spark, tmp_path):
     one = tabular.Options(sample_rows=1)
     for name, text in (("a.csv", "id,ignored\n1,2\n2,x\n"), ("a.tsv", "id\tignored\n1\t2\n2\tx\n"), ("a.ndjson", '{"id":1,"ignored":2}\n{"id":2,"ignored":"x"}\n'), ("b.csv", "id,ignored\n1,2\n2,\n"), ("b.ndjson", '{"id":1,"ignored":2}\n{"id":2}\n'), ("c.ndjson", '{"id":1}\n{"id":2,"new":1}\n'), ("d.ndjson", '{"id":1}\n{"id":2,"id":3}\n')):
-        fails(Category.SCHEMA_DRIFT, lambda path=write(tmp_path / name, text): tabular.read(spark, path, ["id"], options=one))
+        fails(Category.SCHEMA_DRIFT, lambda path=write(tmp_path / name, text): collected(tabular.read(spark, path, ["id"], options=one)))
     ragged = write(tmp_path / "r.csv", "id,x\n1,2\n2,3,4\n")
     with pytest.raises(CleaningError):
         collected(tabular.read(spark, ragged, ["id"], options=one))
@@ -100,12 +100,32 @@ def test_a_given_schema(spark, tmp_path):
     f = lambda n, t, null=False: LogicalField(n, n, t, null)
     schema = LogicalSchema((f("day", simple("date32")), f("at", timestamp()), f("n", simple("int8"), True)))
     assert collected(tabular.read(spark, path, schema=schema)) == [(dt.date(2024, 2, 1), dt.datetime(2024, 2, 1, 10, 0, 0, 500000), 7), (dt.date(2024, 2, 2), dt.datetime(2024, 2, 2, 11), None)]
-    fails(Category.SCHEMA_DRIFT, lambda: tabular.read(spark, path, schema=LogicalSchema((f("day", simple("date32")), f("at", simple("date32")), f("n", simple("int8"), True)))))
+    fails(Category.SCHEMA_DRIFT, lambda: collected(tabular.read(spark, path, schema=LogicalSchema((f("day", simple("date32")), f("at", simple("date32")), f("n", simple("int8"), True))))))
     pq.write_table(pa.table({"n": pa.array([1, 2], pa.int32())}), tmp_path / "n.parquet")
     fails(Category.SCHEMA_DRIFT, lambda: tabular.read(spark, str(tmp_path / "n.parquet"), schema=LogicalSchema((f("n", simple("int16"), True),))))
     assert collected(tabular.read(spark, str(tmp_path / "n.parquet"), schema=LogicalSchema((f("n", simple("int64"), True),)))) == [(1,), (2,)]
 
 
+def test_cells_with_line_breaks(spark, tmp_path):
+    rows = [(1, 'a\nb, "c"', "x"), (2, "\r\n", "y"), (3, "plain", "z\n")]
+    text = "id,a,b\n" + "".join('%d,"%s","%s"\n' % (i, a.replace('"', '""'), b) for i, a, b in rows)
+    (tmp_path / "lines.csv").write_bytes(text.encode())
+    df, schema = tabular.read(spark, str(tmp_path / "lines.csv"))
+    assert sorted(map(tuple, df.collect())) == rows and [f.type.kind for f in schema.fields] == ["int64", "utf8", "utf8"]
+    assert tabular.inspect(spark, str(tmp_path / "lines.csv"), tabular.Options(sample_rows=2)).sampled_rows == 1
+    plain = write(tmp_path / "plain.csv", 'id,a\n1,"x, y"\n')
+    assert not tabular._spread(spark, plain, '"') and collected(tabular.read(spark, plain)) == [(1, "x, y")]
+
+
+def test_drift_is_found_in_the_scan(spark, tmp_path):
+    """One job reads the rows and checks them."""
+    path = write(tmp_path / "t.ndjson", '{"id":1}\n{"id":"x"}\n')
+    df, _ = tabular.read(spark, path, [], options=tabular.Options(sample_rows=1))
+    fails(Category.SCHEMA_DRIFT, lambda: collected((df,)))
+    with pytest.raises(CleaningError), sanitised():
+        df.count()
+
+
 def test_bad_bytes(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(b"a\n\xff\xfe\n")
     fails(Category.INVALID_DATA, lambda: tabular.inspect(spark, str(tmp_path / "x.csv")))
