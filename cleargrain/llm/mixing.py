@@ -127,9 +127,9 @@ def slots(spark, planned: dict, seed: int = 11) -> DataFrame:
     """shard, slot, source_no, block for every slot of the mix."""
     counts, blocks = planned["counts"], planned["blocks"]
     before = np.cumsum(counts, axis=0) - counts
-    runs = [(shard, s, int(before[shard, s]), int(counts[shard, s])) for shard in range(len(counts)) for s in np.flatnonzero(counts[shard])]
-    schema = "shard int, source_no int, first long, n long"
-    table = spark.createDataFrame([(int(a), int(b), c, d) for a, b, c, d in runs], schema)
+    shard_no, source_no = np.nonzero(counts)
+    runs = pa.table([pa.array(shard_no.astype(np.int32)), pa.array(source_no.astype(np.int32)), pa.array(before[shard_no, source_no]), pa.array(counts[shard_no, source_no])], names=["shard", "source_no", "first", "n"])
+    table = spark.createDataFrame(runs)  # whole columns, no object for each of its rows
     n_blocks = blocks.copy()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,24 +141,28 @@ def slots(spark, planned: dict, seed: int = 11) -> DataFrame:
                     key = mix(U64((seed + s * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF) + (j // n_blocks[s]).astype(U64))
                     yield pa.record_batch([pa.array(np.full(len(j), shard, np.int32)), pa.array(j), pa.array(np.full(len(j), s, np.int32)), pa.array(permuted(j % n_blocks[s], size, key))], names=["shard", "slot", "source_no", "block"])
 
-    return table.repartition(max(1, min(len(runs), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(work, "shard int, slot long, source_no int, block long")
+    return table.repartition(max(1, min(len(shard_no), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(work, "shard int, slot long, source_no int, block long")
 
 
 def streams(sized: DataFrame, planned: dict) -> DataFrame:
     """sized with source_no and first: the number of the source's words before the row's.
 
-    A source is dealt into buckets by a hash of the id, as many as the square root of the largest source's rows; words are
-    summed by bucket, the buckets in turn, and the rows within each. So no task orders more than about that many.
+    Rows alike in id, source and text are counted first and follow each other. A source is dealt into buckets by the identity's
+    hash, as many as the square root of the largest source's rows; words are summed by bucket, the buckets in turn, and the
+    rows within each. So no task orders more than about that many.
     """
     names = sized.sparkSession.createDataFrame([(s, i) for i, s in enumerate(planned["sources"])], f"source_name {sized.schema['source'].dataType.simpleString()}, source_no int")
     numbered = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
-    rows = planned["rows"]
-    spread = math.isqrt(max(rows, default=0)) + 1
-    numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
-    sums = numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    ahead = sums.withColumn("ahead", F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).drop("words")
+    alike = numbered.groupBy("source_no", "source", "id", "size", "k1", "k2").agg(F.count("*").alias("rows"))
+    spread = math.isqrt(max(planned["rows"], default=0)) + 1
+    alike = alike.withColumn("bucket", F.pmod("k2", F.lit(spread))).withColumn("words", F.col("size") * F.col("rows"))
+    sums = alike.groupBy("source_no", "bucket").agg(F.sum("words").alias("all"))
+    ahead = sums.withColumn("ahead", F.sum("all").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("all")).drop("all")
     within = Window.partitionBy("source_no", "bucket").orderBy("id", "size", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return numbered.withColumn("upto", F.sum("size").over(within)).join(F.broadcast(ahead) if spread * len(planned["sources"]) <= 1 << 16 else ahead, ["source_no", "bucket"]).withColumn("first", F.col("ahead") + F.col("upto") - F.col("size")).drop("ahead", "upto", "bucket")
+    placed = alike.withColumn("upto", F.sum("words").over(within)).join(F.broadcast(ahead) if spread * len(planned["sources"]) <= 1 << 16 else ahead, ["source_no", "bucket"])
+    begin = F.col("ahead") + F.col("upto") - F.col("words")
+    each = placed.select("source_no", "id", "source", "size", "k1", "k2", begin.alias("begin"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"))
+    return each.withColumn("first", F.col("begin") + F.col("copy") * F.col("size")).drop("begin", "copy")
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 11) -> tuple[DataFrame, DataFrame, dict]:

@@ -64,10 +64,28 @@ def test_packed_tokens_are_those_of_the_mix(stages):
 
 
 def test_edge_rows_go_through(spark, edges):
-    docs = edges
+    """Null, empty, word-less, short, long and repeated rows, a null id, a null source, clashing columns: what each stage leaves."""
+    out, docs = [], edges
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "").persist()
-        docs.count()
+        out.append(docs.collect())
+    quality, near, repeats, mix, packed = out
+    by = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)
+    kept = {None, 4, 5, 6, 7, 8, 9}  # the rest has fewer than 20 words
+    assert by(quality) == sorted([(d is None, d or 0) for d in kept] + [(False, 5)])
+    assert by(near) == sorted((d is None, d or 0) for d in (None, 4, 5, 5, 9))  # 6, 7 and 8 are like 5, which is there twice
+    assert by(repeats) == by(near) and {r["text"] for r in repeats if r["doc_id"] == 5} == {""}  # each row of 5 repeats the other
+    assert all(r["n_chars"] == len(r["text"]) and r["group_"] == "group_" for r in repeats)
+    assert {r["doc_id"] for r in mix} == {None, 4, 9} and {r["doc_id"] for r in packed} == {None, 4, 9}
+    assert sum(len(r["text"].split()) for r in mix) == pytest.approx(1.5 * sum(len(r["text"].split()) for r in repeats), abs=1024)
+
+
+def test_empty_tables_go_through(spark, edges):
+    docs = edges.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").persist()
+        assert docs.columns == edges.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
 
 
 def test_run(spark):

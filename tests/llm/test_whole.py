@@ -48,3 +48,25 @@ def test_words_that_tie_fill_the_lookup(spark, monkeypatch):
     lex = recurrent_lm.lexicon(counts, 3)
     assert len(lex.words) == 50 and lex.words[0] == b"top" and b"low" not in lex.words
     assert len(recurrent_lm.lexicon(counts.where("c < 9 AND word < X'773130'"), 3).words) == 3
+
+
+def test_the_mix_against_brute_force(spark):
+    """Words are taken as the slots say, block by block of each source's stream, also where ids are null or repeat."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2, k]), " ".join(f"{k}.{j}" for j in range(r.choice([0, 3, 40, 200]))), r.choice(["a", "b", None])) for k in range(60)] + [(9, "same words here", "a")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, times, planned = mixing.mixed(docs, block=16)
+    streams = {}
+    for x in sorted(placed.where("size > 0").collect(), key=lambda x: (x["source_no"], x["first"])):
+        assert x["first"] == streams.get(x["source_no"], 0)
+        streams[x["source_no"]] = x["first"] + x["size"]
+    size = {s: sum(len(t.split()) for _, t, source in rows if source == s) for s in ("a", "b", None)}
+    assert planned["sources"] == ["a", "b", None] and [streams[i] for i in range(3)] == [size[s] for s in ("a", "b", None)]
+    drawn = {(x["source_no"], x["block"]): x["times"] for x in times.collect()}
+    want = [sum(n * min(16, streams[s] - 16 * b) for (k, b), n in drawn.items() if k == s) for s in range(3)]
+    got = [0, 0, 0]
+    for x in mixing.mixed_rows(docs, block=16).collect():
+        got[planned["sources"].index(x["source"])] += len(x["text"].split())
+    assert got == want and all(abs(g - t) <= 16 for g, t in zip(got, planned["target"], strict=True))
