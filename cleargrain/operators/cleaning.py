@@ -5,6 +5,7 @@ Stages are a chain of DataFrames; nothing is written between them. Metrics of a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,19 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 
 
+def view_name(stage: Stage) -> str:
+    """The view that an export stage makes of its rows: its configured name, or one made of its id."""
+    return re.sub(r"\W", "_", stage.config.get("name") or f"stage_{stage.id}")
+
+
 def apply_stage(df: DataFrame, stage: Stage) -> DataFrame:
     config = stage.config
     match stage.kind:
-        case "source" | "export":
+        case "source":
             return df
+        case "export":
+            df.createOrReplaceTempView(view_name(stage))
+            return df.sparkSession.table(view_name(stage))
         case "filter":
             return df.where(_present(quoted(config.get("column", "status"))))
         case "deduplicate":

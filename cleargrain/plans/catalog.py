@@ -569,6 +569,13 @@ def _pipe_run(spark, sf_dir):
     return run_pipeline(customers(spark, sf_dir), stages, until="d")[-1][1]
 
 
+@query("pipe_export", f"SELECT category, count(*) AS n FROM ({_keep('ASC')}) GROUP BY category")
+def _pipe_export(spark, sf_dir):
+    """The view that an export stage makes, queried by SQL."""
+    run_pipeline(customers(spark, sf_dir), [Stage("a", "source"), Stage("b", "deduplicate", {"column": "email"}), Stage("e-1", "export")])
+    return spark.sql("SELECT category, count(*) AS n FROM stage_e_1 GROUP BY category")
+
+
 @query("preview_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def _preview(spark, sf_dir):
     """The rows that a preview of an ordered source shows."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,16 +14,26 @@ from pyspark.sql.types import _parse_datatype_string
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this session under spark.checkpoint.dir; a local temporary one only where that is unset (tests)."""
+    """A folder of this session under spark.checkpoint.dir; a local temporary one only where that is unset in a local session."""
     held = getattr(spark.sparkContext, "_cleargrain_folder", None)
     if held is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cleargrain-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+            root = "file://" + tempfile.mkdtemp(prefix="cleargrain-")
         held = f"{root.rstrip('/')}/cleargrain-{uuid.uuid4().hex}"
         spark.sparkContext._cleargrain_folder = held
         atexit.register(_remove, spark, held)
     return held
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables kept so far, for sessions that go on; frames made from them can't be read any more."""
+    if held := getattr(spark.sparkContext, "_cleargrain_folder", None):
+        _remove(spark, held)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -75,3 +75,14 @@ def test_events_are_ordered_and_hold_no_secrets():
     assert [e.happened for e in s.events] == ["tested", "failed", "discovered", "inspected", "imported", "materialized", "completed"] and [e.id for e in s.events] == list("abcdefg")
     with pytest.raises(CleaningError):
         s._add("dataset", "d", "imported", note="password=x")
+
+
+def test_kept_tables_can_be_cleared(spark):
+    from cleargrain.workspace import clear, settled, shared_folder
+
+    kept = settled(spark.range(3), "t")
+    assert kept.count() == 3
+    clear(spark)
+    from cleargrain.sinks.files import Files
+
+    assert Files(spark).entries(shared_folder(spark)) == [] and settled(spark.range(2), "t").count() == 2
