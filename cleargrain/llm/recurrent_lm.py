@@ -41,8 +41,10 @@ CLASSES = 128
 HIDDEN = 24
 EMBEDDED = 16
 STEPS, STREAMS = 16, 768
+#: Updates that a trainer makes at least; few tokens are dealt to fewer streams.
+UPDATES = 200
 TRAINER_TOKENS = 2_500_000
-RATE = 0.15
+RATE = 0.3
 #: A symbol as it is stored.
 SYMBOL = np.dtype("<u2")
 FLUSH = 400_000
@@ -469,7 +471,7 @@ def trained(rows: DataFrame, shared, lex: Lexicon) -> np.ndarray:
         tokens = np.concatenate(found) if found else np.zeros(0, SYMBOL)
         if not len(tokens):
             return
-        n = min(STREAMS, max(1, len(tokens) // STEPS))
+        n = max(1, min(STREAMS, len(tokens) // (STEPS * UPDATES)))
         net.train(tokens[: len(tokens) // n * n].reshape(n, -1), lex.end)
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(len(tokens))]), pa.array([net.flat().astype("<f4").tobytes()], pa.binary())], names=["trainer", "weight", "parameters"])
 
