@@ -36,6 +36,8 @@ from cleargrain.llm.shared import read_table, taken, training_remainder
 SAMPLE_BYTES = 1 << 14
 PART_BYTES = 1 << 10
 BLOCK = 256
+#: How far back from the last place found the next is looked for.
+NEAR = 128
 PIECE_BYTES = 1 << 21
 
 _LETTER = np.zeros(256, bool)
@@ -106,16 +108,17 @@ def laid_out(moves: list[dict[int, int]]) -> Automaton:
         if len(own) > 1:
             at, offsets = low, np.array(own, np.int64)
             while True:
-                tries = np.arange(at, min(at + 4096, size))
+                tries = np.arange(at, min(at + NEAR, size))
                 fits = np.flatnonzero(~named[tries] & ~used[tries[:, None] + offsets].any(1))
                 if len(fits):
                     at = int(tries[fits[0]])
                     break
-                at += 4096
+                at += NEAR
                 if at >= size:
                     size, used, named = 2 * size, np.append(used, np.zeros(2 * size, bool)), np.append(named, np.zeros(2 * size, bool))
             place[state], named[at] = at, True
             used[at + offsets] = True
+            low = max(low, at - NEAR)
         else:
             break
     # What is left has one transition or none: any free slot that makes a free name does.
