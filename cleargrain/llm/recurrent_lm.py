@@ -43,7 +43,7 @@ EMBEDDED = 16
 STEPS, STREAMS = 16, 768
 #: Updates that a trainer makes at least; few tokens are dealt to fewer streams.
 UPDATES = 200
-TRAINER_TOKENS = 2_500_000
+TRAINER_TOKENS = 2_000_000
 RATE = 0.3
 #: A symbol as it is stored.
 SYMBOL = np.dtype("<u2")
