@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from cleargrain.functions.expressions import Binary, Col, lit
 from cleargrain.operators.preview import preview_node
 from cleargrain.operators.verify import verify
-from cleargrain.plans.catalog import b, pipe, project, query, rules, sources
+from cleargrain.plans.catalog import _CUSTOMERS as CUSTOMERS
+from cleargrain.plans.catalog import b, customers, pipe, project, query, rules, sources
 from cleargrain.plans.model import Deduplicate, Validate
 from cleargrain.plans.types import schema_of
 from cleargrain.sinks.store import Store, export
@@ -93,6 +94,14 @@ def _inspect(spark, sf_dir):
     return spark.createDataFrame([(f.name, f.type.kind) for f in found.fields], "name string, type string")
 
 
+@query("source_customers", f"SELECT customer_id, name, email, amount, category, NULLIF(status, '') AS status, margin_pct FROM ({CUSTOMERS})")
+def _customers(spark, sf_dir):
+    """The pipeline's customers as a CSV file, read by their inferred schema; blanks and white space stay."""
+    path = _new(spark, "customers.csv")
+    export(customers(spark, sf_dir), path, "csv")
+    return tabular.read(spark, path, ["customer_id", "name", "email", "amount", "category", "status", "margin_pct"])[0]
+
+
 def _workbook(rows: list[tuple], names: list[str], path: Path) -> None:
     cell = lambda v: f'<c r="{{}}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{{}}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
     lines = "".join(f'<row r="{i}">' + "".join(cell(v).format(f"{chr(65 + j)}{i}") for j, v in enumerate(row)) + "</row>" for i, row in enumerate([tuple(names), *rows], 1))
