@@ -219,6 +219,7 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of their component; rows with a null id stay."""
     gone = near_components(docs, id, text, size, percent).where("id <> component").select(F.col("id").alias("gone")).distinct()
+    gone = settled(gone, "gone")  # its size is known before the join: where it is small, no text is shuffled
     return plain(docs).join(gone, F.col(f"c{docs.columns.index(id)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
