@@ -39,6 +39,8 @@ PIECE_BYTES = 1 << 20
 SKETCH = 32
 #: Words of the sketch folded onto itself, which is looked at first; it too differs in no more bits than the sets.
 FOLDED = 4
+#: Ids of dropped documents that are broadcast, at most.
+BROADCAST_IDS = 1 << 17
 
 
 def halves_for(percent: int, rows: int = ROWS) -> int:
@@ -219,7 +221,9 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of their component; rows with a null id stay."""
     gone = near_components(docs, id, text, size, percent).where("id <> component").select(F.col("id").alias("gone")).distinct()
-    gone = settled(gone, "gone")  # its size is known before the join: where it is small, no text is shuffled
+    gone = settled(gone, "gone")
+    if gone.count() <= BROADCAST_IDS:  # else texts are shuffled, and the join is a sort-merge join
+        gone = F.broadcast(gone)
     return plain(docs).join(gone, F.col(f"c{docs.columns.index(id)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
